@@ -1,20 +1,21 @@
 """Near-duplicate groups by bottom-k sketches.
 
 A document's set is its distinct word shingles, each hashed by one hash function. Documents with equal sets
-form a class, and classes are what is compared. The sketch of a class is the ``k`` smallest hashes of its set.
+form a class, and classes are what is compared. The sketch of a class is the ``k`` least hashes of its set.
 
 Candidates come from inverted lists of retained values. A list's key is a pair of values that are neighbours
-in the sketch: of two sets with similarity 0.8, some two neighbours of the union's sketch lie in both sets but
-for a chance of about 0.51 ** k (5e-10 for 32), and a pair is much rarer than a value, so that a word pair
-which every other document holds makes no list of half the corpus. Sets of at most ``k / threshold`` hashes
-are also listed under every pair of values of their prefix, by which two sets that reach the threshold always
-share a list: for them nothing is left to chance.
-
-A list of at most ``SHORT_LIST`` classes gives all its pairs. A longer list gives the links between a hub (the
-class with the most list mates) and the others. After the links found are joined into components, only
-classes outside the next hubs' components have to meet them; rounds go on, with more hubs each time, until
-every list lies in one component or all its classes have been hubs. So a large group of near copies costs
-links in proportion to its size, and no pair that could join two components is left out.
+in the sketch; a pair is much rarer than a value, so that a word pair which every other document holds makes
+no list of half the corpus. Two sets with similarity 0.8 share about two thirds of their keys, and at least
+``SHARED`` of them but for a chance of 4e-9 (``k`` = 48). Sets of at most ``k / threshold`` hashes are listed
+under all pairs of values of a prefix so long that two sets which reach the threshold always share four of
+its values, hence six (``SHARED``) keys: for them nothing is left to chance.
+
+A list of at most ``SHORT_LIST`` classes gives all its pairs. A class with fewer than ``SHARED`` keys in longer
+lists meets every partner in some short list, and leaves the longer ones. What stays there are groups of near
+copies. Each long list has a hub, the class with the most list mates, and gives the links to it, in proportion
+to its size. When these are joined into components, a pair that could still join two components has a class
+outside the hub's component in it: only such classes (stragglers) are held against the hub's whole group, in
+blocks of bounded size that give back links and not pairs.
 
 A pair is first held against the union sketch's estimate, with a margin of five deviations, and then confirmed
 on the full sets.
@@ -35,8 +36,12 @@ from quarry.llm.components import components
 from quarry.llm.scratch import written
 from quarry.llm.text import LOWER, WordHasher, shingle_hashes, slices, text_bytes, values
 
-SKETCH = 32
+SKETCH = 48
 SHORT_LIST = 32
+#: Keys that two linked classes share at least.
+SHARED = 6
+#: Stragglers, and classes of a hub's group, that one block compares.
+BLOCKS = (128, 512)
 _HASHER = WordHasher()
 
 
@@ -52,7 +57,7 @@ def _list_keys(s: np.ndarray, k: int, threshold: float) -> np.ndarray:
     if n > k:
         keys.append((s[: k - 1], s[1:k]))
     if 3 < n <= k / threshold:
-        p = n - math.ceil(threshold * n - 1e-9) + 2
+        p = n - math.ceil(threshold * n - 1e-9) + 4
         a, b = np.triu_indices(min(p, n), 1)
         keys.append((s[a] ^ np.uint64(0x5555), s[b]))
     if not keys:
@@ -172,44 +177,57 @@ def near_duplicates(
     links = written(confirm(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     found = components(links)
     high = listed.where(F.col("size") > short_list)
-    if not high.isEmpty():
-        weight = high.groupBy("rep").agg(F.sum("size").alias("weight"))
-        long_lists = written(high.join(weight, "rep").select("key", "rep", "n", "weight"), "long-lists")
-        links, found = _hub_rounds(long_lists, links, found, confirm, percent)
+    weights = high.groupBy("rep").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("keys")).where(F.col("keys") >= SHARED)
+    long_lists = written(high.join(weights, "rep").select("key", "rep", "n", "weight"), "long-lists")
+    if not long_lists.isEmpty():
+        more = written(_grouped(long_lists, found, classes, docs, confirm, shingle=shingle, percent=percent, doc_id=doc_id, text=text).union(links), "links")
+        found = components(more)
     named = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = rows.join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _hub_rounds(lists: DataFrame, links: DataFrame, found: DataFrame, confirm, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links of long lists by hubs (see the module's text); ``lists`` has ``key, rep, n, weight``."""
-    order = F.struct(F.col("weight"), (-F.col("rep")).alias("r"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
-    done: DataFrame | None = None
-    hubs_a_round = 1
-    while True:
-        labels = found.select(F.col("node").alias("rep"), "component")
-        active = lists.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_keys = active.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_lists = written(active.join(open_keys, "key"), "open-lists")
-        if open_lists.isEmpty():
-            return links, found
-        left = open_lists if done is None else open_lists.join(done, ["key", "rep"], "left_anti")
-        tried = None
-        for _ in range(hubs_a_round):
-            hub = left.groupBy("key").agg(F.max(order).alias("o")).select("key", "o.hub", "o.hub_n")
-            hub = written(hub, "hubs")
-            tried = hub if tried is None else tried.union(hub)
-            left = left.join(hub.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
-        tried = written(tried, "hubs")
-        if tried.isEmpty():
-            return links, found
-        hub_label = labels.select(F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
-        hubs = tried.join(hub_label, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub"))
-        met = open_lists.join(hubs, "key").where((F.col("component") != F.col("hub_component")) & _fits(F.col("n"), F.col("hub_n"), percent))
-        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        links = written(links.union(confirm(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
-        found = components(links)
-        mark = tried.select("key", F.col("hub").alias("rep"))
-        done = written(mark if done is None else done.union(mark), "hubs-done")
-        hubs_a_round = min(2 * hubs_a_round, 8)
+def _grouped(lists: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, confirm, *, shingle: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Links ``u, v`` that long lists (``key, rep, n, weight``) add to the components found so far."""
+    order = F.struct("weight", (-F.col("rep")).alias("r"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
+    hubs = lists.groupBy("key").agg(F.max(order).alias("o")).select("key", "o.hub", "o.hub_n")
+    groups = written(lists.join(hubs, "key").select("hub", "hub_n", "rep", "n").distinct(), "hub-groups")
+    apart = groups.where((F.col("rep") != F.col("hub")) & _fits(F.col("n"), F.col("hub_n"), percent))
+    pairs = apart.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    star = written(confirm(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    before = found.select(F.col("node").alias("v"), F.col("component").alias("u"))
+    labels = components(star.union(before.select("u", "v"))).select(F.col("node").alias("rep"), "component")
+    named = groups.select("hub", "rep").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    hub_names = labels.select(F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
+    named = named.join(hub_names, "hub", "left").withColumn("straggler", F.col("component") != F.coalesce("hub_component", "hub"))
+    sizes = named.groupBy("hub").agg(F.count_if("straggler").alias("s"), F.count(F.lit(1)).alias("m")).where("s > 0")
+    blocks = [F.ceil(F.col(c) / size).cast("int").alias(f"n{c}") for c, size in zip("sm", BLOCKS, strict=True)]
+    members = written(named.join(sizes.select("hub", *blocks), "hub").select("hub", "rep", "component", "straggler", "ns", "nm"), "stragglers")
+    wanted = members.select("rep").distinct().join(classes.select("rep", "set_id"), "rep")
+    sets = written(full_sets(docs, wanted, shingle=shingle, doc_id=doc_id, text=text).join(wanted, "set_id").select("rep", "full"), "full-sets")
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.where("straggler").select("hub", "rep", "component", part("ns").cast("int").alias("sb"), every("nm").alias("mb")).join(sets, "rep")
+    right = members.select("hub", "rep", "component", part("nm").cast("int").alias("mb"), every("ns").alias("sb")).join(sets, "rep")
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        us, vs = [], []
+        if a.num_rows and b.num_rows:
+            reps, names, full = (np.array(b["rep"].to_pylist()), np.array(b["component"].to_pylist()), b["full"].combine_chunks())
+            flat, starts = full.flatten().to_numpy(), np.concatenate([[0], np.cumsum(full.value_lengths().to_numpy())])
+            for rep, name, own in zip(a["rep"].to_pylist(), a["component"].to_pylist(), a["full"].to_pylist(), strict=True):
+                mine = np.sort(np.array(own, dtype=np.int64))
+                at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                total = np.concatenate([[0], np.cumsum(mine[at] == flat)])
+                both = total[starts[1:]] - total[starts[:-1]]
+                linked = (both * 100 >= percent * (len(mine) + np.diff(starts) - both)) & (names != name)
+                for v in reps[linked].tolist():
+                    us.append(rep)
+                    vs.append(v)
+        kind = a.schema.field("rep").type
+        return pa.table({"u": pa.array(us, kind), "v": pa.array(vs, kind)})
+
+    kind = classes.schema["rep"].dataType.simpleString()
+    met = left.groupBy("hub", "sb", "mb").cogroup(right.groupBy("hub", "sb", "mb")).applyInArrow(compare, f"u {kind}, v {kind}")
+    return met.union(star).distinct()
