@@ -9,13 +9,12 @@ in, the last compaction knows every hash's number of documents and its keeper.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.scratch import shared_dir, written
+from quarry.llm.scratch import written
 
 _SPACES = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -86,7 +85,6 @@ def line_dedup(
     names further columns to return; others are left out, whatever their names. Keys are compared by 128 bits
     of hash. Shuffled are the hashes, the positions of dropped lines, and the texts once (to meet them).
     """
-    spark = docs.sparkSession
     numeric = docs.schema[doc_id].dataType.simpleString()
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("th"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)))
@@ -100,9 +98,7 @@ def line_dedup(
     exploded = rows.where("doc_id IS NOT NULL").select("doc_id", "th", batch.alias("batch"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = exploded.select("doc_id", "th", "batch", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     hashed = keyed.select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"), "batch")
-    path = f"{shared_dir(spark)}/quarry/lines-{uuid.uuid4().hex}"
-    hashed.write.partitionBy("batch").parquet(path)
-    lines = spark.read.schema(hashed.schema).parquet(path)
+    lines = written(hashed, "lines")
     runs = LineRuns(fanout)
     for b in range(len(bounds) + 1):
         runs.add(lines.where(F.col("batch") == b).select(*_KEY, "doc_id"))
