@@ -190,3 +190,41 @@ def decontaminate(
     )
     rows = merged.withColumn("spans", joined).withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
     return rows.select("doc_id", "n_words", "spans", "items").withColumn("n_hit", hit)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, text: str = "text", item_id: str = "item_id", item_text: str = "text", benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+    """The rows of ``docs`` with no hit words or fewer than one in ``share``, all columns as they are.
+
+    Nothing is shuffled. A benchmark above ``benchmark_bytes`` filters in several passes, each of which adds its
+    hits to a column of spans, so that the share is taken of all hits together.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    names = [f"c{k}" for k in range(len(columns))]
+    rows = docs.select(*(c.alias(n) for c, n in zip(columns, names, strict=True)), text_bytes(docs, text).alias("__text"), F.array().cast("array<int>").alias("__spans"))
+    parts = benchmark_parts(benchmark, item_id, item_text, benchmark_bytes)
+    schema = rows.schema
+    for k, part in enumerate(parts):
+        patterns: dict[tuple[bytes, ...], set[int]] = {}
+        for _, body in part:
+            patterns |= {p: set() for p in windows(bench_words(bytes(body or b"")), window)}
+        rows = rows.mapInArrow(_adding_hits(docs.sparkSession.sparkContext.broadcast(patterns), share if k == len(parts) - 1 else None), schema)
+    return rows.drop("__text", "__spans").toDF(*docs.columns)
+
+
+def _adding_hits(shared, share: int | None):
+    """A worker's function that adds spans and, with ``share``, drops the rows that have too many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = WuManber(shared.value)
+        for whole in batches:
+            for batch in slices(whole, "__text"):
+                spans, keep = [], []
+                for t, before in zip(values(batch.column(batch.num_columns - 2)), values(batch.column(batch.num_columns - 1)), strict=True):
+                    words = bench_words(t)
+                    joined = _union([*zip(before[::2], before[1::2], strict=True), *search.find(words)[0]])
+                    spans.append([x for s in joined for x in s])
+                    keep.append(share is None or not joined or share * sum(b - a for a, b in joined) < len(words))
+                out = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, pa.list_(pa.int32()))], names=batch.schema.names)
+                yield out.filter(pa.array(keep))
+
+    return run
