@@ -210,6 +210,7 @@ def _grouped(lists: DataFrame, found: DataFrame, classes: DataFrame, docs: DataF
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = members.where("straggler").select("hub", "rep", "component", part("ns").cast("int").alias("sb"), every("nm").alias("mb")).join(sets, "rep")
     right = members.select("hub", "rep", "component", part("nm").cast("int").alias("mb"), every("ns").alias("sb")).join(sets, "rep")
+    right = written(right, "group-blocks")  # a plan of its own, which cogroup needs
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         us, vs = [], []
