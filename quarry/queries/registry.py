@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.queries import codecs, engine
+from quarry.queries import codecs, engine, values
 
-_PARTS = (codecs, engine)
+_PARTS = (codecs, engine, values)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
