@@ -353,8 +353,10 @@ def _qbit(t, n, r, s, o, null):
 
 
 def _state(t, n, r, s, o, null):
-    codec = states.codec(t)
-    return masked(pa.array([codec.read(r) for _ in range(n)], pa.binary()), null)
+    start = r.pos
+    ends = states.codec(t).read_many(r, n)
+    offsets = np.concatenate([[0], ends]).astype("<i4")
+    return masked(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(r.buf[start : r.pos])]), null)
 
 
 def _dynamic(t, n, r, s, o, null):
@@ -493,9 +495,7 @@ def skip_body(t: T, n: int, r: Reader, s: State, o: Options) -> None:
     elif k == "QBit":
         r.skip({"BFloat16": 16, "Float32": 32, "Float64": 64}[t.args[0].kind] * n * -(-t.args[1] // 8))
     elif k == "AggregateFunction":
-        codec = states.codec(t)
-        for _ in range(n):
-            codec.read(r)
+        states.codec(t).read_many(r, n)
     elif k == "Dynamic":
         _skip_dynamic(n, r, s, o)
     elif k == "JSON":
@@ -621,10 +621,15 @@ def _write(t: T, a: pa.Array, o: Options, head: list[bytes], body: list[bytes])
     elif k == "QBit":
         body.append(_qbit_planes(t, a))
     elif k == "AggregateFunction":
-        codec, values = states.codec(t), a.to_pylist()
-        if not all(codec.valid(v) for v in values):
+        offsets, data = _string_buffers(a)
+        joined = data[offsets[0] : offsets[-1]].tobytes()
+        try:
+            ends = states.codec(t).read_many(Reader(joined), len(a))
+        except (InvalidData, NeedMore) as e:
+            raise InconsistentBatch(f"not a state of {t}") from e
+        if (ends != offsets[1:] - offsets[0]).any():
             raise InconsistentBatch(f"not a state of {t}")
-        body.append(b"".join(values))
+        body.append(joined)
     elif k == "Dynamic":
         _write_dynamic(t, a.to_pylist(), o, head, body)
     elif k == "JSON":

@@ -9,9 +9,11 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass
 
+import numpy as np
+
 from quarry.errors import InvalidData, NeedMore, UnsupportedType
 from quarry.functions.types import T, decimal_width, delegate
-from quarry.functions.wire import Reader, varint
+from quarry.functions.wire import Reader, varint, varint_ends
 
 #: How a sum accumulates each kind: bytes, signed, float.
 _SUM = {k: ("Q", 8) for k in ("Bool", "UInt8", "UInt16", "UInt32", "UInt64")}
@@ -40,6 +42,31 @@ class Codec:
             r.skip(self.width)
         return r.buf[start : r.pos]
 
+    def read_many(self, r: Reader, n: int) -> np.ndarray:
+        """The ends of ``n`` states, counted from the cursor, which moves behind the last."""
+        if self.form == "count":
+            return varint_ends(r, n)
+        if self.form == "sum" and not self.nullable:
+            r.skip(n * self.width)
+            return np.arange(1, n + 1, dtype=np.int64) * self.width
+        start, ends = r.pos, np.empty(n, dtype=np.int64)
+        if self.form == "zero":
+            if r.array("u1", n).any():
+                raise InvalidData("a state of nothing is not a zero byte")
+            return np.arange(1, n + 1, dtype=np.int64)
+        buf, p, w = r.buf, r.pos, self.width + 1
+        if n > r.remaining:
+            raise NeedMore(f"{n} states need at least as many bytes")
+        for i in range(n):
+            if p >= r.end:
+                raise NeedMore("a state is cut short")
+            p += w if buf[p] else 1
+            ends[i] = p - start
+        if p > r.end:
+            raise NeedMore("a state is cut short")
+        r.pos = p
+        return ends
+
     def valid(self, state: bytes) -> bool:
         """Whether the bytes are exactly one state."""
         r = Reader(state)
