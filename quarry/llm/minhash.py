@@ -40,8 +40,8 @@ SKETCH = 48
 SHORT_LIST = 32
 #: Keys that two linked classes share at least.
 SHARED = 6
-#: Stragglers, and classes of a hub's group, that one block compares.
-BLOCKS = (128, 512)
+#: Hashes of stragglers, and of a hub's group, that one block compares.
+BLOCKS = (1 << 17, 1 << 20)
 _HASHER = WordHasher()
 
 
@@ -177,8 +177,9 @@ def near_duplicates(
     links = written(confirm(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     found = components(links)
     high = listed.where(F.col("size") > short_list)
-    weights = high.groupBy("rep").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("keys")).where(F.col("keys") >= SHARED)
-    long_lists = written(high.join(weights, "rep").select("key", "rep", "n", "weight"), "long-lists")
+    # At most ``keys`` entries for each class, so its lists are gathered rather than joined.
+    gathered = high.groupBy("rep", "n").agg(F.sum("size").alias("weight"), F.collect_list("key").alias("mine")).where(F.size("mine") >= SHARED)
+    long_lists = written(gathered.select(F.explode("mine").alias("key"), "rep", "n", "weight"), "long-lists")
     if not long_lists.isEmpty():
         more = written(_grouped(long_lists, found, classes, docs, confirm, shingle=shingle, percent=percent, doc_id=doc_id, text=text).union(links), "links")
         found = components(more)
@@ -198,10 +199,10 @@ def _grouped(lists: DataFrame, found: DataFrame, classes: DataFrame, docs: DataF
     star = written(confirm(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     before = found.select(F.col("node").alias("v"), F.col("component").alias("u"))
     labels = components(star.union(before.select("u", "v"))).select(F.col("node").alias("rep"), "component")
-    named = groups.select("hub", "rep").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = groups.select("hub", "rep", "n").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     hub_names = labels.select(F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
     named = named.join(hub_names, "hub", "left").withColumn("straggler", F.col("component") != F.coalesce("hub_component", "hub"))
-    sizes = named.groupBy("hub").agg(F.count_if("straggler").alias("s"), F.count(F.lit(1)).alias("m")).where("s > 0")
+    sizes = named.groupBy("hub").agg(F.sum(F.when(F.col("straggler"), F.col("n"))).alias("s"), F.sum("n").alias("m")).where("s > 0")
     blocks = [F.ceil(F.col(c) / size).cast("int").alias(f"n{c}") for c, size in zip("sm", BLOCKS, strict=True)]
     members = written(named.join(sizes.select("hub", *blocks), "hub").select("hub", "rep", "component", "straggler", "ns", "nm"), "stragglers")
     wanted = members.select("rep").distinct().join(classes.select("rep", "set_id"), "rep")
@@ -216,13 +217,16 @@ def _grouped(lists: DataFrame, found: DataFrame, classes: DataFrame, docs: DataF
         us, vs = [], []
         if a.num_rows and b.num_rows:
             reps, names, full = (np.array(b["rep"].to_pylist()), np.array(b["component"].to_pylist()), b["full"].combine_chunks())
-            flat, starts = full.flatten().to_numpy(), np.concatenate([[0], np.cumsum(full.value_lengths().to_numpy())])
+            flat, sizes = full.flatten().to_numpy(), full.value_lengths().to_numpy()
+            order = np.argsort(flat, kind="stable")
+            values_, owners = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order]
             for rep, name, own in zip(a["rep"].to_pylist(), a["component"].to_pylist(), a["full"].to_pylist(), strict=True):
-                mine = np.sort(np.array(own, dtype=np.int64))
-                at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-                total = np.concatenate([[0], np.cumsum(mine[at] == flat)])
-                both = total[starts[1:]] - total[starts[:-1]]
-                linked = (both * 100 >= percent * (len(mine) + np.diff(starts) - both)) & (names != name)
+                mine = np.array(own, dtype=np.int64)
+                start, end = np.searchsorted(values_, mine, "left"), np.searchsorted(values_, mine, "right")
+                n = end - start
+                places = np.arange(n.sum()) + np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+                both = np.bincount(owners[places], minlength=len(sizes))
+                linked = (both * 100 >= percent * (len(mine) + sizes - both)) & (names != name)
                 for v in reps[linked].tolist():
                     us.append(rep)
                     vs.append(v)
