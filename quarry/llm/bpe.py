@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.text import slices, text_bytes, values
+from quarry.llm.text import kept_by, slices, text_bytes, values
 
 _FOREVER = 1 << 60
 
@@ -39,7 +39,7 @@ class MergeAutomaton:
     ``merges`` holds ``(left id, right id, merged id)`` in order of rank.
     """
 
-    def __init__(self, merges: Iterable[tuple[int, int, int]], table_limit: int = 1_000_000):
+    def __init__(self, merges: Iterable[tuple[int, int, int]], table_limit: int = 400_000):
         self.born: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.gadget: dict[tuple[int, int], int] = {}
@@ -100,7 +100,7 @@ def _byte_alphabet() -> list[str]:
 class BpeTokenizer:
     """Encoder and decoder of one ``tokenizer.json`` with byte-level BPE and an end-of-word suffix."""
 
-    def __init__(self, source: bytes, cache_limit: int = 200_000):
+    def __init__(self, source: bytes, cache_limit: int = 150_000):
         spec = json.loads(source)
         model = spec["model"]
         if model["type"] != "BPE" or model.get("unk_token") or model.get("byte_fallback"):
@@ -247,6 +247,7 @@ _BUILT: dict[int, BpeTokenizer] = {}
 
 
 def _built(source: bytes) -> BpeTokenizer:
+    kept_by("bpe", _BUILT)
     key = hash(source)
     if key not in _BUILT:
         _BUILT.clear()
@@ -260,7 +261,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id",
     One row for each input row, in no shuffle. A null or empty text, or one of white space only, gives no
     tokens and an empty decoded text. A null ``doc_id`` and repeated rows pass as they are; other columns
     are left out, whatever their names. The vocabulary file (a fixed 2 MB, read once on the driver) is
-    broadcast; workers keep at most 200,000 words and chunks.
+    broadcast; workers keep tables of bounded size.
     """
     with open(tokenizer_path, "rb") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.text import ALNUM_LOWER, slices, text_bytes, values
+from quarry.llm.text import ALNUM_LOWER, kept_by, slices, text_bytes, values
 
 #: Benchmark text that one broadcast may hold; a larger benchmark is searched in several passes.
 BENCHMARK_BYTES = 32 << 20
@@ -95,6 +95,7 @@ def _search(docs: DataFrame, rows: list, size: int, doc_id: str, text: str, keep
     shared = docs.sparkSession.sparkContext.broadcast((dict(patterns), names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("decontamination")
         patterns, names = shared.value
         search = WuManber(patterns)
         for whole in batches:
@@ -215,6 +216,7 @@ def _adding_hits(shared, share: int | None):
     """A worker's function that adds spans and, with ``share``, drops the rows that have too many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("decontamination")
         search = WuManber(shared.value)
         for whole in batches:
             for batch in slices(whole, "__text"):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.decontam import bench_words
-from quarry.llm.text import slices, text_bytes, values
+from quarry.llm.text import kept_by, slices, text_bytes, values
 
 #: Customary notices of public licenses, by SPDX name.
 NOTICES = {
@@ -128,6 +128,7 @@ def license_scan(docs: DataFrame, *, notices: dict[str, str] | None = None, cove
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("licenses")
         scanner = LicenseScanner(chosen, coverage)
         for whole in batches:
             for batch in slices(whole, "__text"):

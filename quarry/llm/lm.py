@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.scratch import written
-from quarry.llm.text import LOWER, slices, text_bytes, values
+from quarry.llm.text import LOWER, kept_by, slices, text_bytes, values
 from quarry.llm.unigram import Lattice, vocabulary
 
 #: Words that are broadcast, and the bytes that one of them may have: together a bound of a few MB.
@@ -41,6 +41,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     """``word binary, c long, n long``: each distinct word's count in training and in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("lm")
         train, other = Counter(), Counter()
 
         def rows() -> pa.RecordBatch:
@@ -68,6 +69,7 @@ def _expected(words: DataFrame, pieces: list[bytes], log_p: list[float]) -> list
     shared = words.sparkSession.sparkContext.broadcast((pieces, log_p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("lm")
         pieces, log_p = shared.value
         lattice, counts = Lattice(pieces, log_p), [0.0] * len(pieces)
         for batch in batches:
@@ -88,6 +90,7 @@ def _marginals(words: DataFrame, pieces: list[bytes], log_p: list[float]) -> Dat
     shared = words.sparkSession.sparkContext.broadcast((pieces, log_p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("lm")
         lattice = Lattice(*shared.value)
         for batch in batches:
             lp = [lattice.forward(w) / math.log(10) for w in values(batch.column(0))]
@@ -136,6 +139,7 @@ def score(docs: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str
     kinds_sql = f"uid long, word binary, tf long, doc_id {docs.schema[doc_id].dataType.simpleString()}, n_tokens long, n_known long, base double, lp double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("lm")
         known = shared.value
         uid = TaskContext.get().partitionId() << 40
         for whole in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.scratch import written
-from quarry.llm.text import LOWER, WordHasher, shingle_hashes, slices, text_bytes, values
+from quarry.llm.text import LOWER, WordHasher, kept_by, shingle_hashes, slices, text_bytes, values
 
 SKETCH = 48
 SHORT_LIST = 32
@@ -45,6 +45,11 @@ BLOCKS = (1 << 17, 1 << 20)
 _HASHER = WordHasher()
 
 
+def _claim() -> None:
+    """The worker's table of word hashes, from here on this operator's."""
+    kept_by("minhash", _HASHER.known)
+
+
 def word_set(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct hashes of the ``size``-word shingles of a text (one for a shorter text, none without words)."""
     return np.unique(shingle_hashes(_HASHER(text.translate(LOWER).split()), size))
@@ -87,6 +92,7 @@ def sketches(docs: DataFrame, *, shingle: int, k: int, threshold: float, doc_id:
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _claim()
         for whole in batches:
             for batch in slices(whole, "__text"):
                 sizes, ids, kept, keys = [], [], [], []
@@ -108,6 +114,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, *, shingle: int, doc_id: str,
     """``set_id, full array<long>`` of the classes in ``wanted`` (``set_id, rep``), computed anew from one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _claim()
         for whole in batches:
             for batch in slices(whole, "__text"):
                 sets = [word_set(t, shingle) for t in values(batch.column(1))]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.text import slices, text_bytes, values
+from quarry.llm.text import kept_by, slices, text_bytes, values
 
 #: A repeat shorter than this many words is ordinary language.
 MIN_REPEAT = 8
@@ -204,6 +204,7 @@ def quality(
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("quality")
         for whole in batches:
             for batch in slices(whole, "__text", 2 << 20):
                 m = measure(values(batch.column(1)), min_repeat)
@@ -225,6 +226,7 @@ def keep_good(docs: DataFrame, *, text: str = "text", **limits: int) -> DataFram
     packed = docs.select(*(c.alias(n) for c, n in zip(columns, names, strict=True)), text_bytes(docs, text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("quality")
         for whole in batches:
             for batch in slices(whole, "__text", 2 << 20):
                 _, kept = verdicts(measure(values(batch.column(batch.num_columns - 1)), min_repeat), **limit)

@@ -24,6 +24,22 @@ ALNUM_LOWER = bytes(
 FLUSH_BYTES = 8 << 20
 
 
+_KEPT: dict[str, list] = {}
+
+
+def kept_by(operator: str, *caches) -> None:
+    """Called where a task of ``operator`` starts: a worker process keeps tables of one operator at a time.
+
+    Workers are reused from task to task and what they keep between tasks is worth a lot to the next task of the
+    same operator, but only costs memory under another's. ``caches`` (with a ``clear``) join those kept for it.
+    """
+    for other in [o for o in _KEPT if o != operator]:
+        for cache in _KEPT.pop(other):
+            cache.clear()
+    held = _KEPT.setdefault(operator, [])
+    held.extend(c for c in caches if all(c is not h for h in held))
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> Column:
     """The text column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(docs[text], F.lit("")).cast("binary")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.text import slices, text_bytes, values
+from quarry.llm.text import kept_by, slices, text_bytes, values
 from quarry.llm.unigram import vocabulary
 
 #: Terminal counts that a worker keeps from one batch to the next.
@@ -79,6 +79,7 @@ def token_counts(docs: DataFrame, model_path: str, *, doc_id: str = "doc_id", te
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("token counts")
         counter = TrieCounter(*shared.value)
         for whole in batches:
             for batch in slices(whole, "__text"):
