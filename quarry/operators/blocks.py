@@ -7,7 +7,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -161,6 +161,18 @@ def read_schema(data: bytes, o: Options) -> list[tuple[str, T]]:
     return _walk(r, o, lambda name, t, rows, r, s: skip_body(t, rows, r, s, o) if rows else None)[2]
 
 
+def read_first_schema(chunks: Iterable[bytes], o: Options) -> list[tuple[str, T]]:
+    """The fields of the first block of a stream in pieces; no more is read than it needs."""
+    held = bytearray()
+    for chunk in chunks:
+        held += chunk
+        try:
+            return read_schema(bytes(held), o)
+        except NeedMore:
+            continue
+    return read_schema(bytes(held), o)
+
+
 def block_end(data: bytes, o: Options, start: int = 0) -> BlockEntry | None:
     """Where the block at ``start`` ends, by skipping only; None if the input ends at or within it."""
     if start >= len(data):

@@ -7,7 +7,7 @@ from quarry.functions.arrow_types import block_fields
 from quarry.operators.columns import Options
 from quarry.operators.frames import encode_blocks, through_blocks
 from quarry.queries.registry import oracle_sql, queries
-from quarry.sources.blocks import BlockSource
+from quarry.sources.blocks import BlockSource, index_files
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -32,6 +32,21 @@ def test_write_and_read(spark, rows, tmp_path, options):
     assert picked.columns == ["v"] and picked.count() == 1000
 
 
+def test_indexes(spark, rows, tmp_path):
+    spark.dataSource.register(BlockSource)
+    path = str(tmp_path / "t")
+    rows.coalesce(1).write.format("blocks").option("blockRows", "100").mode("append").save(path)
+    small = spark.read.format("blocks").option("splitBytes", "3000").load(path)
+    parts = small.rdd.getNumPartitions()
+    assert parts > 3 and small.count() == 1000
+    for p in tmp_path.glob("t/.*.index"):
+        p.unlink()
+    whole = spark.read.format("blocks").option("splitBytes", "3000").load(path)
+    assert whole.rdd.getNumPartitions() == 1 and sorted(map(tuple, whole.collect())) == sorted(map(tuple, rows.collect()))
+    assert [(r.blocks, r.rows) for r in index_files(spark, path).collect()] == [(10, 1000)]
+    assert spark.read.format("blocks").option("splitBytes", "3000").load(path).rdd.getNumPartitions() == parts
+
+
 def test_overwrite(spark, rows, tmp_path):
     spark.dataSource.register(BlockSource)
     path = str(tmp_path / "t")
