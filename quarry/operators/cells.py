@@ -10,10 +10,12 @@ import datetime
 import decimal
 import json
 import math
+import struct
+from functools import lru_cache
 
 import pyarrow as pa
 
-from quarry.errors import InvalidData, ResourceLimit, UnsupportedType
+from quarry.errors import InconsistentBatch, InvalidData, ResourceLimit, UnsupportedType
 from quarry.functions import type_binary
 from quarry.functions.arrow_types import arrow_type, element_names
 from quarry.functions.types import T, delegate, dictionary_value, parse
@@ -23,6 +25,16 @@ from quarry.functions.wire import Reader, string, varint
 MAX_ZERO_WIDTH = 1_000_000
 
 
+#: Kinds whose single values are packed directly.
+_PACKED = {k: struct.Struct("<" + f) for k, f in {"Int8": "b", "Int16": "h", "Int32": "i", "Int64": "q", "UInt8": "B", "UInt16": "H", "UInt32": "I", "Float64": "d"}.items()}
+
+
+@lru_cache(maxsize=4096)
+def descriptor(t: T) -> bytes:
+    """The binary descriptor of a type, made once."""
+    return type_binary.write(t)
+
+
 def supported(t: T) -> bool:
     """Whether single values of ``t`` have a codec."""
     t = delegate(t)
@@ -54,7 +66,7 @@ def decode(cell: bytes) -> tuple[T, object]:
 
 def encode(t: T, value) -> bytes:
     """A cell that holds ``value``."""
-    return type_binary.write(t) + encode_value(t, value)
+    return descriptor(t) + encode_value(t, value)
 
 
 def _zero_width(t: T) -> bool:
@@ -66,6 +78,14 @@ def read_value(t: T, r: Reader):
     """One value of ``t`` at the cursor."""
     from quarry.operators.columns import Options, State, read_body
 
+    packed = _PACKED.get(t.kind)
+    if packed is not None:
+        return packed.unpack(r.take(packed.size))[0]
+    if t.kind == "String":
+        try:
+            return r.string().decode()
+        except UnicodeDecodeError as e:
+            raise InvalidData("a String is not UTF-8") from e
     t = delegate(t)
     k = t.kind
     if k == "Nullable":
@@ -106,6 +126,14 @@ def encode_value(t: T, value) -> bytes:
     """The bytes of one value, without a descriptor."""
     from quarry.operators.columns import Options, write_column
 
+    packed = _PACKED.get(t.kind)
+    if packed is not None:
+        try:
+            return packed.pack(value)
+        except struct.error as e:
+            raise InconsistentBatch(f"{value!r} does not fit {t}") from e
+    if t.kind == "String":
+        return string(value)
     t = delegate(t)
     k = t.kind
     if k == "Nullable":

@@ -392,7 +392,7 @@ def _dynamic(t, n, r, s, o, null):
             continue
         x, state = next(typed)
         body = read_body(x, len(rows), r, state, o).to_pylist()
-        head = type_binary.write(x)
+        head = cells.descriptor(x)
         for row, value in zip(rows, body, strict=True):
             kinds[row], texts[row] = str(x), cells.text(x, value)
             raws[row] = head + cells.encode_value(x, value) if cells.supported(x) else None

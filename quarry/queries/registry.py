@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.queries import codecs, engine, values
+from quarry.queries import codecs, engine, merges, values
 
-_PARTS = (codecs, engine, values)
+_PARTS = (codecs, engine, merges, values)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
