@@ -35,12 +35,16 @@ def ipv4_text(address: Column) -> Column:
     return F.concat_ws(".", *parts)
 
 
-@F.pandas_udf("string")
-def ipv6_text(address: pd.Series) -> pd.Series:
+def ipv6_text(address: Column) -> Column:
     """The text of an IPv6 address given as 16 bytes."""
-    import ipaddress
 
-    return address.map(lambda x: None if x is None else str(ipaddress.IPv6Address(bytes(x))))
+    @F.pandas_udf("string")
+    def convert(raw: pd.Series) -> pd.Series:
+        import ipaddress
+
+        return raw.map(lambda x: None if x is None else str(ipaddress.IPv6Address(bytes(x))))
+
+    return convert(address)
 
 
 def wide_integer_text(value: Column, *, signed: bool) -> Column:
