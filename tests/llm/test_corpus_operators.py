@@ -102,7 +102,7 @@ def test_groups_of_near_copies(spark):
     assert Counter(map(tuple, minhash.near_duplicates(docs, shingle=2, percent=80, short_list=8).collect())) == want
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 def test_components(spark, pairs):
     edges = spark.createDataFrame(pairs, "u long, v long")
