@@ -116,10 +116,11 @@ class BpeTokenizer:
         self.encoded_labels = {i: t.encode() for i, t in self.labels.items()}
         self.special = special
         longest_first = sorted(special, key=len, reverse=True)
-        self.special_pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if special else None
+        self.special_pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.nfc, self.lowercase = "NFC" in kinds, "Lowercase" in kinds
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.takes_letters = r"|[\p{L}]+|" in split and split.endswith(r"[^\s\p{L}\p{N}]+")
         self.pattern = regex.compile(split.replace(r"\s", r"\p{White_Space}"), regex.V1)
         alphabet = _byte_alphabet()
         self.trie: dict = {}
@@ -196,7 +197,13 @@ class BpeTokenizer:
         elif self.lowercase:
             text = text.lower()
         words = self.words
-        for word in self.pattern.findall(text):
+        if self.takes_letters and text.isalpha():  # one run of letters, which the pattern takes whole
+            found = (text,)
+        elif self.takes_letters and text[-1] in ".,;:!?" and text[:-1].isalpha():
+            found = (text[:-1], text[-1])
+        else:
+            found = self.pattern.findall(text)
+        for word in found:
             ids = words.get(word)
             if ids is None:
                 ids = tuple(self.encode_word(word.encode()))
@@ -209,7 +216,11 @@ class BpeTokenizer:
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text; strings of special tokens become their ids."""
         out: list[int] = []
-        for part in self.special_pattern.split(text) if self.special_pattern else [text]:
+        if not any(t in text for t in self.special):
+            if text:
+                self._plain(text, out)
+            return out
+        for part in self.special_pattern.split(text):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
