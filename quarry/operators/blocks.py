@@ -87,7 +87,7 @@ def _least_row(t: T) -> int:
     t = delegate(t)
     if t.kind == "Array" or t.kind == "Map":
         return 8
-    return fixed_width(t) or (0 if t.kind in ("LowCardinality", "JSON", "QBit") else 1)
+    return fixed_width(t) or (0 if t.kind == "JSON" else 1)
 
 
 def _walk(r: Reader, o: Options, visit) -> tuple[int, int, list[tuple[str, T]]]:

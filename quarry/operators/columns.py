@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quarry.errors import InconsistentBatch, InvalidData, NeedMore, UnsupportedSerialization, UnsupportedType
+from quarry.errors import InconsistentBatch, InvalidData, NeedMore, ResourceLimit, UnsupportedSerialization, UnsupportedType
 from quarry.functions import type_binary
 from quarry.functions import wire
 from quarry.functions.arrow_types import DYNAMIC, arrow_type
@@ -407,6 +407,7 @@ def _json(t, n, r, s, o, null):
     if s.word == 1:
         return _string(t, n, r, s, o, null)
     j = t.args[0]
+    _check_pathless(j, n, s, o)
     rows: list[dict] = [{} for _ in range(n)]
     for (path, x), state in zip(j.typed, s.inside, strict=False):
         for row, value in zip(rows, read_body(x, n, r, state, o).to_pylist(), strict=True):
@@ -427,6 +428,12 @@ def _json(t, n, r, s, o, null):
     return masked(pa.array([json.dumps(_nested(x), separators=(",", ":"), ensure_ascii=False) for x in rows], pa.string()), null)
 
 
+def _check_pathless(j, n: int, s: State, o: Options) -> None:
+    """Flattened objects without any path take no bytes, so nothing else bounds their number."""
+    if s.word == 3 and not j.typed and not s.paths and 16 * n > o.max_synthetic:
+        raise ResourceLimit(f"{n} objects that take no bytes")
+
+
 def _nested(flat: dict) -> dict:
     """An object of dotted paths as nested objects, keys in order."""
     out: dict = {}
@@ -500,6 +507,7 @@ def skip_body(t: T, n: int, r: Reader, s: State, o: Options) -> None:
         _skip_dynamic(n, r, s, o)
     elif k == "JSON":
         j = t.args[0]
+        _check_pathless(j, n, s, o)
         for (_, x), i in zip(j.typed, s.inside, strict=False):
             skip_body(x, n, r, i, o)
         for i in s.inside[len(j.typed) :]:

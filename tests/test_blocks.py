@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.errors import BlockError, InconsistentBatch, InvalidData, NeedMore, SchemaMismatch, UnsupportedRevision, UnsupportedSerialization, UnsupportedType
+from quarry.errors import BlockError, InconsistentBatch, InvalidData, NeedMore, ResourceLimit, SchemaMismatch, UnsupportedRevision, UnsupportedSerialization, UnsupportedType
 from quarry.functions import wire
 from quarry.functions.arrow_types import arrow_type
 from quarry.functions.types import parse
@@ -166,6 +166,22 @@ def test_guards():
         block_end(bytes(spoiled), Options())
 
 
+def test_objects_that_take_no_bytes():
+    pathless = wire.varint(1) + wire.varint(1 << 30) + wire.string("j") + wire.string("JSON") + wire.u64(3) + wire.varint(0)
+    for read in (lambda: block_end(pathless, Options()), lambda: read_block(Reader(pathless), Options())):
+        with pytest.raises(ResourceLimit):
+            read()
+    few = pathless.replace(wire.varint(1 << 30), wire.varint(3))
+    assert read_block(Reader(few), Options())[0].column(0).to_pylist() == ["{}"] * 3
+
+
+def test_impossible_counts():
+    for name in ("Int32", "LowCardinality(String)", "Array(Int8)", "QBit(Float32, 8)", "Dynamic"):
+        head = wire.varint(1) + wire.varint(1 << 50) + wire.string("x") + wire.string(name)
+        with pytest.raises(ResourceLimit):
+            read_block(Reader(head), Options())
+
+
 def test_index():
     b, fields = batch(x=("Int8", [1, 2]))
     data = write_block(b, fields, Options()) * 3
