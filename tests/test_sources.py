@@ -68,3 +68,28 @@ def test_no_rows(spark, rows):
 
 def test_every_query_has_sql():
     assert set(queries()) == set(oracle_sql()) and len(queries()) > 130
+
+
+def test_stream_offsets_end_at_blocks(tmp_path):
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from quarry.functions.types import parse
+    from quarry.operators.blocks import write_block
+    from quarry.sources.blocks import BlockStreamReader
+
+    blocks = [write_block(pa.RecordBatch.from_pydict({"x": pa.array([i, i])}), [("x", parse("Int64"))], Options(revision=54460)) for i in range(4)]
+    file = tmp_path / "a.blocks"
+    file.write_bytes(blocks[0] + blocks[1] + blocks[2][:-3])
+    reader = BlockStreamReader(BlockSource({"path": str(tmp_path)}), StructType([StructField("x", LongType())]))
+    first = reader.latestOffset()
+    assert list(first.values()) == [len(blocks[0]) * 2]
+    with file.open("ab") as f:
+        f.write(blocks[2][-3:] + blocks[3])
+    second = reader.latestOffset()
+    rows = [v for part in reader.partitions(first, second) for b in reader.read(part) for v in b.column(0).to_pylist()]
+    assert rows == [2, 2, 3, 3] and reader.partitions(second, second) == []
+    # After a restart the offset comes from the checkpoint.
+    again = BlockStreamReader(BlockSource({"path": str(tmp_path)}), StructType([StructField("x", LongType())]))
+    again.partitions(first, first)
+    assert again.latestOffset() == second
