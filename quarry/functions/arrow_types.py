@@ -36,10 +36,12 @@ def element_names(t: T) -> list[str]:
     return [n if n is not None else str(i + 1) for i, (n, _) in enumerate(t.args)]
 
 
-def arrow_type(t: T) -> pa.DataType:
-    """The Arrow type that columns of ``t`` are decoded to and encoded from."""
+def arrow_type(t: T, strings: str = "utf8") -> pa.DataType:
+    """The Arrow type that columns of ``t`` are decoded to and encoded from; Strings as ``binary`` if asked for."""
     t = delegate(t)
     k = t.kind
+    if k == "String" and strings == "binary":
+        return pa.binary()
     if k in _SIMPLE:
         return _SIMPLE[k]
     if k.startswith("Interval"):
@@ -51,31 +53,31 @@ def arrow_type(t: T) -> pa.DataType:
     if k == "Decimal":
         return pa.decimal128(*t.args) if t.args[0] <= 38 else pa.binary()
     if k == "Nullable":
-        return arrow_type(t.args[0])
+        return arrow_type(t.args[0], strings)
     if k == "LowCardinality":
-        return arrow_type(types.dictionary_value(t.args[0])[1])
+        return arrow_type(types.dictionary_value(t.args[0])[1], strings)
     if k == "Array":
-        return pa.list_(pa.field("element", arrow_type(t.args[0]), nullable=True))
+        return pa.list_(pa.field("element", arrow_type(t.args[0], strings), nullable=True))
     if k == "Map":
-        return pa.list_(pa.field("element", pa.struct([pa.field("key", arrow_type(t.args[0])), pa.field("value", arrow_type(t.args[1]))])))
+        return pa.list_(pa.field("element", pa.struct([pa.field("key", arrow_type(t.args[0], strings)), pa.field("value", arrow_type(t.args[1], strings))])))
     if k == "Tuple":
-        return pa.struct([pa.field(n, arrow_type(x)) for n, (_, x) in zip(element_names(t), t.args, strict=True)])
+        return pa.struct([pa.field(n, arrow_type(x, strings)) for n, (_, x) in zip(element_names(t), t.args, strict=True)])
     if k == "Variant":
-        return pa.struct([pa.field("tag", pa.int16()), *(pa.field(f"v{i}", arrow_type(a)) for i, a in enumerate(t.args))])
+        return pa.struct([pa.field("tag", pa.int16()), *(pa.field(f"v{i}", arrow_type(a, strings)) for i, a in enumerate(t.args))])
     if k == "Dynamic":
         return DYNAMIC
     if k == "QBit":
-        return pa.list_(pa.field("element", arrow_type(t.args[0])))
+        return pa.list_(pa.field("element", arrow_type(t.args[0], strings)))
     raise types.UnsupportedType(f"no Arrow type for {t}")
 
 
-def arrow_schema(fields: list[tuple[str, T]]) -> pa.Schema:
-    return pa.schema([pa.field(n, arrow_type(t), metadata={KEY: str(t)}) for n, t in fields])
+def arrow_schema(fields: list[tuple[str, T]], strings: str = "utf8") -> pa.Schema:
+    return pa.schema([pa.field(n, arrow_type(t, strings), metadata={KEY: str(t)}) for n, t in fields])
 
 
-def spark_schema(fields: list[tuple[str, T]]) -> S.StructType:
+def spark_schema(fields: list[tuple[str, T]], strings: str = "utf8") -> S.StructType:
     """The Spark schema of a block's fields, type names in the metadata."""
-    plain = from_arrow_schema(pa.schema([pa.field(n, arrow_type(t)) for n, t in fields]))
+    plain = from_arrow_schema(pa.schema([pa.field(n, arrow_type(t, strings)) for n, t in fields]))
     return S.StructType([S.StructField(f.name, f.dataType, True, {KEY: str(t)}) for f, (_, t) in zip(plain.fields, fields, strict=True)])
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from quarry.errors import InvalidBlockInfo, InvalidData, NeedMore, ResourceLimit, SchemaMismatch, UnsupportedRevision, UnsupportedSerialization
 from quarry.functions import type_binary
-from quarry.functions.arrow_types import KEY, arrow_schema, arrow_type
+from quarry.functions.arrow_types import arrow_schema, arrow_type
 from quarry.functions.types import T, delegate, fixed_width, parse, render
 from quarry.functions.wire import Reader, string, varint
 from quarry.operators import states
@@ -127,14 +127,11 @@ def read_block(r: Reader, o: Options, columns: set[str] | None = None) -> tuple[
             if rows:
                 skip_body(t, rows, r, state, o)
         else:
-            a = read_body(t, rows, r, state, o) if rows else pa.array([], arrow_type(t))
+            a = read_body(t, rows, r, state, o) if rows else pa.array([], arrow_type(t, o.strings))
             arrays.append((name, t, a))
 
     _, _, fields = _walk(r, o, visit)
-    kept = [(n, t) for n, t, _ in arrays]
-    schema = arrow_schema(kept)
-    if o.strings != "utf8":
-        schema = pa.schema([pa.field(n, a.type, metadata={KEY: str(t)}) for n, t, a in arrays])
+    schema = arrow_schema([(n, t) for n, t, _ in arrays], o.strings)
     return pa.RecordBatch.from_arrays([a for _, _, a in arrays], schema=schema), fields
 
 

@@ -12,7 +12,7 @@ import datetime
 import decimal
 import json
 import uuid as uuids
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -153,7 +153,7 @@ def _plain(t, n, r, s, o, null):
     a = r.array(_NUMPY[t.kind], n)
     if t.kind == "UInt64":
         return masked(decimals(np.stack([a, np.zeros(n, dtype="<u8")], axis=1), 20, 0), null)
-    target = arrow_type(t)
+    target = arrow_type(t, o.strings)
     return pa.array(a.astype(target.to_pandas_dtype()) if t.kind.startswith("U") else a, type=target, mask=null)
 
 
@@ -198,7 +198,7 @@ def _ticks(t, n, r, s, o, null):
     a = r.array("<i8", n)
     if t.args[0] > 6:
         return pa.array(a, mask=null)
-    return pa.array(a * 10 ** (6 - t.args[0]), mask=null).cast(arrow_type(t))
+    return pa.array(a * 10 ** (6 - t.args[0]), mask=null).cast(arrow_type(t, o.strings))
 
 
 def _time(t, n, r, s, o, null):
@@ -255,7 +255,7 @@ def _decimal(t, n, r, s, o, null):
 def _array(t, n, r, s, o, null):
     offsets = _offsets(n, r)
     inside = read_body(t.args[0], int(offsets[-1]), r, s.inside[0], o)
-    return _list(offsets, inside, arrow_type(t), null)
+    return _list(offsets, inside, arrow_type(t, o.strings), null)
 
 
 def _offsets(n: int, r: Reader) -> np.ndarray:
@@ -283,7 +283,7 @@ def _map(t, n, r, s, o, null):
     total = int(offsets[-1])
     keys = read_body(t.args[0], total, r, s.inside[0], o)
     items = read_body(t.args[1], total, r, s.inside[1], o)
-    kind = arrow_type(t)
+    kind = arrow_type(t, o.strings)
     return _list(offsets, pa.StructArray.from_arrays([keys, items], fields=list(kind.value_type)), kind, null)
 
 
@@ -293,7 +293,7 @@ def _tuple(t, n, r, s, o, null):
         a = pa.Array.from_buffers(pa.struct([]), n, [None])
     else:
         parts = [read_body(x, n, r, i, o) for (_, x), i in zip(t.args, s.inside, strict=True)]
-        a = pa.StructArray.from_arrays(parts, fields=list(arrow_type(t)))
+        a = pa.StructArray.from_arrays(parts, fields=list(arrow_type(t, o.strings)))
     return masked(a, null)
 
 
@@ -317,14 +317,14 @@ def _variant(t, n, r, s, o, null):
         raise InvalidData("a Variant's discriminator has no alternative")
     children = [read_body(a, c, r, i, o) for a, c, i in zip(t.args, _counts(tags, len(t.args)), s.inside, strict=True)]
     tag = pa.array(tags.astype("<i2"), mask=tags == 255)
-    a = pa.StructArray.from_arrays([tag, *_spread(tags, children)], fields=list(arrow_type(t)))
+    a = pa.StructArray.from_arrays([tag, *_spread(tags, children)], fields=list(arrow_type(t, o.strings)))
     return masked(a, null)
 
 
 def _low_cardinality(t, n, r, s, o, null):
     nullable, value = dictionary_value(t.args[0])
     if n == 0:
-        return pa.array([], arrow_type(t))
+        return pa.array([], arrow_type(t, o.strings))
     word = r.u64()
     if word & 0xFF > 3 or word & 0x100 or not word & 0x200:
         raise UnsupportedSerialization(f"a dictionary's index word is {word:#x}")
@@ -349,7 +349,7 @@ def _qbit(t, n, r, s, o, null):
     words = np.packbits(flags[::-1].transpose(1, 2, 0), axis=2, bitorder="little").reshape(n * size, bits // 8)
     raw = np.ascontiguousarray(words)
     values = (raw.view("<u2")[:, 0].astype("<u4") << 16).view("<f4") if bits == 16 else raw.view(f"<f{bits // 8}")[:, 0]
-    return _list(np.arange(0, (n + 1) * size, size, dtype="<i4") if size else np.zeros(n + 1, "<i4"), pa.array(values), arrow_type(t), null)
+    return _list(np.arange(0, (n + 1) * size, size, dtype="<i4") if size else np.zeros(n + 1, "<i4"), pa.array(values), arrow_type(t, o.strings), null)
 
 
 def _state(t, n, r, s, o, null):
@@ -405,7 +405,7 @@ def _json(t, n, r, s, o, null):
     from quarry.operators import cells
 
     if s.word == 1:
-        return _string(t, n, r, s, o, null)
+        return _string(t, n, r, s, replace(o, strings="utf8"), null)
     j = t.args[0]
     _check_pathless(j, n, s, o)
     rows: list[dict] = [{} for _ in range(n)]

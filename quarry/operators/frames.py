@@ -48,7 +48,7 @@ def decode_blocks(blocks: DataFrame, fields: list[tuple[str, T]], options: Optio
                 for found in read_blocks(decompress_stream(block) if compressed else block, o, set(names)):
                     yield found.replace_schema_metadata(None)
 
-    return blocks.select("block").mapInArrow(run, StructType(spark_schema(kept).fields))
+    return blocks.select("block").mapInArrow(run, StructType(spark_schema(kept, o.strings).fields))
 
 
 def through_blocks(df: DataFrame, types: dict[str, str] | None = None, options: Options | None = None, *, block_rows: int = 65536, compression: str = "none", columns: list[str] | None = None) -> DataFrame:

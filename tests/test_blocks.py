@@ -175,6 +175,15 @@ def test_objects_that_take_no_bytes():
     assert read_block(Reader(few), Options())[0].column(0).to_pylist() == ["{}"] * 3
 
 
+def test_strings_that_are_not_text():
+    t = parse("Array(LowCardinality(Nullable(String)))")
+    b = pa.RecordBatch.from_pydict({"x": pa.array([[b"\xff", None], []], pa.list_(pa.binary()))})
+    data = write_block(b, [("x", t)], Options())
+    with pytest.raises(InvalidData):
+        read_block(Reader(data), Options())
+    assert read_block(Reader(data), Options(strings="binary"))[0].column(0).to_pylist() == [[b"\xff", None], []]
+
+
 def test_impossible_counts():
     for name in ("Int32", "LowCardinality(String)", "Array(Int8)", "QBit(Float32, 8)", "Dynamic"):
         head = wire.varint(1) + wire.varint(1 << 50) + wire.string("x") + wire.string(name)
