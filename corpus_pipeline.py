@@ -51,6 +51,9 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = written(groups.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__id"))
+    repeated = written(repeated, "repeated-ids")
+    if repeated.isEmpty():
+        return left
     flagged = left.join(repeated, left["doc_id"] == repeated["__id"], "left")
     # Only rows whose id is repeated can be repeated rows; all others pass without meeting each other.
     single = flagged.where("__id IS NULL").drop("__id")
