@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.scratch import written
+from quarry.llm.scratch import discard, written
 
 _SPACES = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -44,7 +44,10 @@ class LineRuns:
         return merged.sortWithinPartitions(*_KEY)
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Adds a batch of ``h1, h2, doc_id`` (ids below all before it); returns its run, keeper set where new."""
+        """Adds a batch of ``h1, h2, doc_id`` (ids below all before it); returns its run, keeper set where new.
+
+        A run is there until its level is compacted.
+        """
         once = lines.groupBy(*_KEY, "doc_id").agg(F.lit(1).alias("one"))
         keys = once.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last"))
         if self.runs():
@@ -64,6 +67,7 @@ class LineRuns:
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._push(level + 1, written(self._compacted(full), f"line-level{level + 1}"))
+            discard(*full)
 
     def total(self) -> DataFrame:
         """One row for each hash: its number of documents and its keeper."""

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.scratch import written
+from quarry.llm.scratch import discard, written
 from quarry.llm.text import LOWER, kept_by, slices, text_bytes, values
 from quarry.llm.unigram import Lattice, vocabulary
 
@@ -132,6 +132,7 @@ def score(docs: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str
     log_p = [math.log((x + 0.5) / mass) for x in uses]
     end_lp = math.log10((ends + 0.5) / mass)
     words = written(_marginals(counted, pieces, log_p), "word-scores")
+    discard(counted)
     head = words.where((F.col("n") >= _head_limit(words, head_words)) & (F.length("word") <= HEAD_BYTES)).select("word", "c", "lp").toArrow().to_pylist()
     shared = docs.sparkSession.sparkContext.broadcast({r["word"]: (base_of(r["c"]), r["lp"], r["c"] > 0) for r in head})
     end = (base_of(ends), end_lp, int(ends > 0))

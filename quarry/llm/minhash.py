@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.scratch import written
+from quarry.llm.scratch import discard, written
 from quarry.llm.text import LOWER, WordHasher, kept_by, shingle_hashes, slices, text_bytes, values
 
 SKETCH = 48
@@ -138,7 +138,7 @@ def _estimate(a: Column, b: Column, k: int, threshold: float) -> Column:
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *, shingle: int, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """The pairs ``a, b`` of class numbers whose full sets reach the threshold."""
+    """The pairs ``a, b`` whose full sets reach the threshold, as written links ``u, v``."""
     ca = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("set_id").alias("ia"))
     cb = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("set_id").alias("ib"))
     near = pairs.join(ca, "a").join(cb, "b").where(_estimate(F.col("sa"), F.col("sb"), k, percent / 100))
@@ -147,7 +147,9 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *, shingle
     sets = written(full_sets(docs, wanted, shingle=shingle, doc_id=doc_id, text=text), "full-sets")
     full = near.join(sets.select(F.col("set_id").alias("ia"), F.col("full").alias("fa")), "ia").join(sets.select(F.col("set_id").alias("ib"), F.col("full").alias("fb")), "ib")
     both = F.size(F.array_intersect("fa", "fb"))
-    return full.where(both * 100 >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    links = written(full.where(both * 100 >= percent * (F.col("na") + F.col("nb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    discard(near, sets)
+    return links
 
 
 def _fits(na: Column, nb: Column, percent: int) -> Column:
@@ -181,7 +183,7 @@ def near_duplicates(
     left, right = low.select("key", F.col("rep").alias("a"), F.col("n").alias("na")), low.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
     pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & _fits(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
     confirm = lambda p: _confirmed(p, classes, docs, shingle=shingle, k=k, percent=percent, doc_id=doc_id, text=text)
-    links = written(confirm(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    links = confirm(pairs)
     found = components(links)
     high = listed.where(F.col("size") > short_list)
     # At most ``keys`` entries for each class, so its lists are gathered rather than joined.
@@ -203,7 +205,7 @@ def _grouped(lists: DataFrame, found: DataFrame, classes: DataFrame, docs: DataF
     groups = written(lists.join(hubs, "key").select("hub", "hub_n", "rep", "n").distinct(), "hub-groups")
     apart = groups.where((F.col("rep") != F.col("hub")) & _fits(F.col("n"), F.col("hub_n"), percent))
     pairs = apart.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    star = written(confirm(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    star = confirm(pairs)
     before = found.select(F.col("node").alias("v"), F.col("component").alias("u"))
     labels = components(star.union(before.select("u", "v"))).select(F.col("node").alias("rep"), "component")
     named = groups.select("hub", "rep", "n").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -42,14 +42,16 @@ def test_line_dedup(edge, small, batches):
 
 
 def test_runs_are_anti_joined(spark):
-    runs = line_dedup.LineRuns(fanout=2)
+    runs = line_dedup.LineRuns(fanout=3)
     frame = lambda *rows: spark.createDataFrame(rows, "h1 long, h2 long, doc_id long")
     first = runs.add(frame((1, 1, 9), (1, 1, 9), (2, 2, 9), (2, 2, 8)))
     second = runs.add(frame((1, 1, 5), (3, 3, 5)))
     assert sorted(map(tuple, first.collect())) == [(1, 1, 1, 9), (2, 2, 2, 9)]
     assert sorted(map(tuple, second.collect()), key=str) == [(1, 1, 1, None), (3, 3, 1, 5)]
-    assert [len(level) for level in runs.levels] == [0, 1]
     assert sorted(map(tuple, runs.total().collect())) == [(1, 1, 2, 9), (2, 2, 2, 9), (3, 3, 1, 5)]
+    runs.add(frame((2, 2, 3)))
+    assert [len(level) for level in runs.levels] == [0, 1]
+    assert sorted(map(tuple, runs.total().collect())) == [(1, 1, 2, 9), (2, 2, 3, 9), (3, 3, 1, 5)]
 
 
 def plain_components(rows, size, percent):
