@@ -6,6 +6,9 @@ splitting at ``[\\x20\\x09-\\x0D]`` is ``bytes.split()``, both far cheaper than
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,9 +36,16 @@ def kept_by(operator: str, *caches) -> None:
     Workers are reused from task to task and what they keep between tasks is worth a lot to the next task of the
     same operator, but only costs memory under another's. ``caches`` (with a ``clear``) join those kept for it.
     """
-    for other in [o for o in _KEPT if o != operator]:
+    others = [o for o in _KEPT if o != operator]
+    for other in others:
         for cache in _KEPT.pop(other):
             cache.clear()
+    if others:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+    pa.default_memory_pool().release_unused()
     held = _KEPT.setdefault(operator, [])
     held.extend(c for c in caches if all(c is not h for h in held))
 
