@@ -165,6 +165,13 @@ def test_passages(spark):
     assert got[8][0] > 100 and got[9][2] == [8]
 
 
+def test_chains_over_foreign_words_are_cut():
+    shared, other = list(range(50)), list(range(100, 145))
+    a, b = shared + list(range(1000, 1060)) + other, shared + list(range(2000, 2020)) + other
+    seeds = [(i, i) for i in range(0, 45, 9)] + [(110 + i, 70 + i) for i in range(0, 40, 9)]
+    assert substring.passages_of(a, b, seeds, 5, 12, 40, 0.8) == [(0, 50, 0, 50), (110, 155, 70, 115)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=14, unique=True))
 def test_chains(points):
