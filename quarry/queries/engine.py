@@ -242,7 +242,7 @@ def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _written(spark, lineitem(spark, sf_dir).repartition(4, "l_orderkey"), TYPES, revision="54460", blockRows="500")
     schema = spark.read.format("blocks").option("revision", "54460").load(path).schema
     out, state = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-state")
-    stream = spark.readStream.format("blocks").schema(schema).option("revision", "54460").option("maxBytesPerTrigger", "100000").load(path)
+    stream = spark.readStream.format("blocks").schema(schema).option("revision", "54460").option("maxBytesPerTrigger", "1000000").load(path)
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).start()
     query.processAllAvailable()
     query.stop()
