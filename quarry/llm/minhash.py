@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.scratch import discard, written
-from quarry.llm.text import LOWER, WordHasher, kept_by, shingle_hashes, slices, text_bytes, values
+from quarry.llm.text import LOWER, WordHasher, kept_by, mix64, shingle_hashes, slices, text_bytes, values
 
 SKETCH = 48
 SHORT_LIST = 32
@@ -68,13 +68,7 @@ def _list_keys(s: np.ndarray, k: int, threshold: float) -> np.ndarray:
     if not keys:
         return s[:0]
     a, b = (np.concatenate(x) for x in zip(*keys, strict=True))
-    return np.unique(shingle_hashes_of_pairs(a, b))
-
-
-def shingle_hashes_of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    from quarry.llm.text import mix64
-
-    return mix64(mix64(a) * np.uint64(0x9E3779B97F4A7C15) + b)
+    return np.unique(mix64(mix64(a) * np.uint64(0x9E3779B97F4A7C15) + b))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
