@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,5 +38,9 @@ def discard(*tables: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of steps whose results are already written."""
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
+
+    Called where a step's tables are written and the next step is about to shuffle as much again.
+    """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
