@@ -165,6 +165,24 @@ def test_passages(spark):
     assert got[8][0] > 100 and got[9][2] == [8]
 
 
+def _passages(spark, texts):
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r.doc_id: r for r in substring.repeated_passages(docs).collect()}
+
+
+def test_fuzzy_passages_are_seeded(spark):
+    """Copies of 50 words with every eighth or sixth word changed."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for n in range(40):
+        passage = fresh(50)
+        step = 6 if n % 2 else 8
+        texts += [fresh(50) + passage + fresh(50), fresh(50) + [f"e{i}" if i % step == 3 else w for i, w in enumerate(passage)] + fresh(50)]
+    got = _passages(spark, texts)
+    assert sum(got[2 * n + 1]["first"] for n in range(40)) <= 2
+
+
 def test_chains_over_foreign_words_are_cut():
     shared, other = list(range(50)), list(range(100, 145))
     a, b = shared + list(range(1000, 1060)) + other, shared + list(range(2000, 2020)) + other
