@@ -183,6 +183,32 @@ def test_fuzzy_passages_are_seeded(spark):
     assert sum(got[2 * n + 1]["first"] for n in range(40)) <= 2
 
 
+def test_passages_whose_seeds_have_other_hubs(spark):
+    """Each stretch of nine words of a passage stands in ten smaller ids of its own."""
+    rng = random.Random(6)
+    fresh = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(60)
+    texts = [fresh(40) + passage[i : i + 9] + fresh(40) for i in range(0, 58, 3) for _ in range(10)]
+    texts += [fresh(30) + passage + fresh(30), fresh(20) + passage + fresh(40)]
+    got = _passages(spark, texts)
+    a, b = len(texts) - 2, len(texts) - 1
+    assert got[a].n_passage_words == got[b].n_passage_words == 60 and list(got[b].partners) == [a]
+
+
+def test_links_in_pieces():
+    """A seed that runs over many batches is linked as in one; the few documents of another are linked in pairs."""
+    import numpy as np
+
+    seed = np.array([1] * 12 + [2] * 250_000 + [3] * 2)
+    rep = np.concatenate([np.arange(12) // 3, np.arange(250_000) // 2, [7, 8]])
+    pos = np.arange(len(seed))
+    long = np.zeros(len(seed), dtype=bool)
+    whole = lambda size: set().union(*(set(zip(*(c.tolist() for c in found[:4]), strict=True)) for found in substring.links(((seed[i : i + size], rep[i : i + size], pos[i : i + size], long[i : i + size]) for i in range(0, len(seed), size)), 8)))
+    one, many = whole(10**6), whole(7_001)
+    assert {(r, h) for r, _, h, _ in one if r < 4 and h < 4 and _ < 12} >= {(r, h) for r in range(4) for h in range(r)}
+    assert {x for x in one if x[0] != 0} == {x for x in many if x[0] != 0}
+
+
 def test_chains_over_foreign_words_are_cut():
     shared, other = list(range(50)), list(range(100, 145))
     a, b = shared + list(range(1000, 1060)) + other, shared + list(range(2000, 2020)) + other
