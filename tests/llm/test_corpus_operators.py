@@ -195,6 +195,16 @@ def test_passages_whose_seeds_have_other_hubs(spark):
     assert got[a].n_passage_words == got[b].n_passage_words == 60 and list(got[b].partners) == [a]
 
 
+@pytest.mark.parametrize("twice", [0, 1, 2])
+def test_passages_that_stand_twice_in_a_document(spark, twice):
+    rng = random.Random(7)
+    fresh = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(60)
+    texts = [fresh(30) + passage + fresh(30) + (passage + fresh(10) if i == twice else []) for i in range(3)]
+    got = _passages(spark, texts)
+    assert [got[i].n_passage_words for i in range(3)] == [120 if i == twice else 60 for i in range(3)]
+
+
 def test_links_in_pieces():
     """A seed that runs over many batches is linked as in one; the few documents of another are linked in pairs."""
     import numpy as np
