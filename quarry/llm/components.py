@@ -35,6 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         last, now = now, written(_small_star(_large_star(now)), "edges")
         discard(last)
+        if before is None and now.isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
