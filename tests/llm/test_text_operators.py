@@ -3,8 +3,12 @@
 import hashlib
 import itertools
 import math
+import pickle
+import random
 import re
+import unicodedata
 import zlib
+from array import array
 from collections import Counter
 
 import pytest
@@ -39,6 +43,22 @@ def test_bpe_is_the_librarys(edge, small):
         assert Counter(map(tuple, again.collect())) == Counter((r.doc_id, r.decoded) for r in encoded.collect())
 
 
+def test_every_code_point_and_mixed_marks_are_the_librarys():
+    library = Tokenizer.from_file(WORD)
+    with open(WORD, "rb") as f:
+        mine = bpe.BpeTokenizer(pickle.loads(pickle.dumps(bpe.compile_bpe(f.read()))), cache_limit=1000)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in points if unicodedata.combining(chr(c))]
+    rng = random.Random(1)
+    texts = [f"a{chr(c)}b" for c in points]
+    texts += ["".join(chr(rng.choice(marks if rng.random() < 0.5 else points[:0x20000])) for _ in range(8)) for _ in range(20_000)]
+    texts += ["x" * 5000, "ab" * 3000 + "</w>", "\U00011935\U00011930", "don't'll <|endoftext|>'s"]
+    for k in range(0, len(texts), 50_000):
+        part = texts[k : k + 50_000]
+        for t, e in zip(part, library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert array("i", mine.encode_bytes(t.encode())[0]).tolist() == e.ids, ascii(t)
+
+
 def naive_bpe(symbols, ranks):
     """Merges the pair of least rank, leftmost first, until none is left."""
     symbols = list(symbols)
