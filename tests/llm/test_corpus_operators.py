@@ -205,6 +205,47 @@ def test_passages_that_stand_twice_in_a_document(spark, twice):
     assert [got[i].n_passage_words for i in range(3)] == [120 if i == twice else 60 for i in range(3)]
 
 
+def test_passages_whose_pieces_stand_in_smaller_ids(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(90)
+    texts = [fresh(30) + passage[i * 10 : i * 10 + 20] + fresh(30) for i in range(8)] * 1
+    texts += [fresh(30) + passage + fresh(30), fresh(20) + passage + fresh(40)]
+    got = _passages(spark, texts)
+    assert got[8].n_passage_words == got[9].n_passage_words == 90 and list(got[9].partners) == [8]
+
+
+def test_passages_of_an_id_with_several_texts(spark):
+    rng = random.Random(9)
+    fresh = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    passage, own = fresh(60), fresh(70)
+    texts = [(1, fresh(50) + own), (1, own + fresh(10) + passage + fresh(20)), (1, fresh(90)), (2, fresh(20) + passage + fresh(30)), (3, passage), (3, fresh(5) + passage)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_passage_words, tuple(r.partners), r["first"]) for r in substring.repeated_passages(docs).collect())
+    assert got == [(1, 90, 0, (), True), (1, 120, 0, (), True), (1, 160, 60, (), True), (2, 110, 60, (1,), False), (3, 60, 60, (1,), False), (3, 65, 60, (1,), False)]
+
+
+def test_passages_of_a_table_by_brute_force(small):
+    """Every run of 40 words that another id has too lies in a document's spans, and spans hold passages only."""
+    least = 40
+    rows = [(r.doc_id, tuple(split(r.text.translate(LOWER)))) for r in small.select("doc_id", "text").collect() if r.text]
+    holders = {}
+    for i, w in rows:
+        for k in range(len(w) - least + 1):
+            holders.setdefault(hash(w[k : k + least]), set()).add(i)
+    found = {r.doc_id: r for r in substring.repeated_passages(small).collect()}
+    copied = Counter(w for _, w in rows)
+    exact = all_words = 0
+    for i, w in rows:
+        want = {p for k in range(len(w) - least + 1) if len(holders[hash(w[k : k + least])]) > 1 for p in range(k, k + least)}
+        have = {p for a, b in zip(found[i].spans[::2], found[i].spans[1::2], strict=True) for p in range(a, b)}
+        assert want <= have, (i, len(want - have))
+        assert len(have) == found[i].n_passage_words
+        exact, all_words = exact + len(want), all_words + len(have)
+        assert copied[w] == 1 or len(w) < least or have == set(range(len(w)))
+    assert 0 < exact <= all_words
+
+
 def test_links_in_pieces():
     """A seed that runs over many batches is linked as in one; the few documents of another are linked in pairs."""
     import numpy as np
