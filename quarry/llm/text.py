@@ -96,19 +96,16 @@ class WordHasher:
         self.known: dict[bytes, int] = {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        digest = xxhash.xxh64_intdigest
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = digest(w)
-                if len(w) <= 64:
-                    known[w] = h
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+        if len(self.known) > self.limit:
+            self.known.clear()
+        get, hashed = self.known.get, self._hashed
+        return np.fromiter((get(w) or hashed(w) for w in words), dtype=np.uint64, count=len(words))
+
+    def _hashed(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            self.known[word] = h
+        return h
 
 
 def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
