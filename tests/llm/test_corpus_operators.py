@@ -253,8 +253,7 @@ def test_links_in_pieces():
     seed = np.array([1] * 12 + [2] * 250_000 + [3] * 2)
     rep = np.concatenate([np.arange(12) // 3, np.arange(250_000) // 2, [7, 8]])
     pos = np.arange(len(seed))
-    long = np.zeros(len(seed), dtype=bool)
-    whole = lambda size: set().union(*(set(zip(*(c.tolist() for c in found[:4]), strict=True)) for found in substring.links(((seed[i : i + size], rep[i : i + size], pos[i : i + size], long[i : i + size]) for i in range(0, len(seed), size)), 8)))
+    whole = lambda size: set().union(*(set(zip(*(c.tolist() for c in found[:4]), strict=True)) for found in substring.links(((seed[i : i + size], rep[i : i + size], pos[i : i + size]) for i in range(0, len(seed), size)), 8)))
     one, many = whole(10**6), whole(7_001)
     assert {(r, h) for r, _, h, _ in one if r < 4 and h < 4 and _ < 12} >= {(r, h) for r in range(4) for h in range(r)}
     assert {x for x in one if x[0] != 0} == {x for x in many if x[0] != 0}
