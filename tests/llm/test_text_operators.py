@@ -248,6 +248,43 @@ def test_licenses(edge):
     assert scanner.scan(b"a license is not a notice, and general public notices are no license version") == []
 
 
+def test_notices_away_from_their_rarest_words():
+    scanner = licenses.LicenseScanner([*licenses.NOTICES.items(), *licenses.TEXTS.items()], 0.85)
+    passage = "use of this source code is ruled by a style license that can be found in the license file"
+    text = "governed bsd " + "filler words go here " * 30 + passage
+    assert [f[0] for f in scanner.scan(text.encode())] == ["BSD-3-Clause"]
+    for name, body in licenses.TEXTS.items():
+        words = body.split()
+        for step in (9, 12):
+            edited = " ".join("other" if i % step == 4 else w for i, w in enumerate(words))
+            found = scanner.scan(("The preface of the file, with any words of a license. " * 4 + edited + " the rest is of no use").encode())
+            assert name in [f[0] for f in found], (name, step)
+    assert scanner.scan(licenses.TEXTS["MIT"].encode() * 3)[0][:2] == ("MIT", 1.0)
+
+
+def plain_licenses(text, notices, coverage):
+    """The best alignment over all windows that start with a word of the notice."""
+    words, best = decontam.bench_words(text), {}
+    for name, notice in notices:
+        notice = decontam.bench_words(notice.encode())
+        size = len(notice) + len(notice) // 2
+        for s in range(len(words)):
+            matched = licenses.patience_align(words[s : s + size], notice) if words[s] in notice else []
+            if len(matched) >= coverage * len(notice) - 1e-9 and len(matched) > 0:
+                got = (len(matched) / len(notice), len(notice), -(s + matched[0][0]), -(s + matched[-1][0] + 1))
+                old = best.get(name, (0.0, 0))
+                best[name] = max(old, got) if old[:2] != got[:2] else old
+    return [(n, b[0], -b[2], -b[3]) for n, b in sorted(best.items(), key=lambda f: (-f[1][0], -f[1][1], f[0]))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdefg"), min_size=1, max_size=8), min_size=1, max_size=3), st.lists(st.sampled_from("abcdefgh"), max_size=40), st.sampled_from([0.5, 0.75, 0.85, 1.0]))
+def test_licenses_by_brute_force(notices, text, coverage):
+    pairs = [(f"n{i}", " ".join(n)) for i, n in enumerate(notices)]
+    body = " ".join(text).encode()
+    assert licenses.LicenseScanner(pairs, coverage).scan(body) == plain_licenses(body, pairs, coverage)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from([b"a", b"b", b"c", b"d"]), max_size=12), st.lists(st.sampled_from([b"a", b"b", b"c", b"d"]), max_size=12))
 def test_patience_alignments_are_common_subsequences(a, b):
