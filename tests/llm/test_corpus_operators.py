@@ -132,6 +132,25 @@ def test_minimax_cuts(sizes, shards):
     assert capacity == (best[-1] if sizes else 0)
 
 
+@pytest.mark.parametrize(("n", "hot", "bits"), [(400, 0, 2), (400, 9000, 2), (5, 0, 16), (60, 300, 4), (0, 0, 16)])
+def test_cuts_are_exact_over_groups(spark, monkeypatch, n, hot, bits):
+    monkeypatch.setattr(sharding, "CELL_BITS", bits)
+    monkeypatch.setattr(sharding, "STEP_BITS", 3)
+    rng = random.Random(n + hot)
+    groups = {rng.randrange(1 << 64) if i % 3 else (0xABC << 52) + rng.randrange(1 << 20): rng.randrange(1, 60) for i in range(n)}
+    if hot:
+        groups[rng.choice(list(groups))] = hot
+    rows = spark.createDataFrame([(h - (1 << 64) if h >> 63 else h, x) for h, x in groups.items()], "h long, size long")
+    order = sorted(groups)
+    want, _ = sharding.minimax_cuts([groups[h] for h in order], 8)
+    cuts = sharding.group_cuts(rows, 8)
+    assert len(cuts) == (7 if n else 0) or not n
+    loads = [0] * 8
+    for h in order:
+        loads[sum(h >= c for c in cuts)] += groups[h]
+    assert max(loads) == want
+
+
 def test_sharding(edge, spark):
     got = sharding.shard(edge, shards=4).collect()
     rows = edge.select("doc_id", "text").collect()
