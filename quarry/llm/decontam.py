@@ -8,17 +8,23 @@ the block selects the bucket of patterns that end in it, and those are compared
 
 from __future__ import annotations
 
+import uuid
+from array import array
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.scratch import written
 from quarry.llm.text import ALNUM_LOWER, kept_by, slices, text_bytes, values
 
-#: Benchmark text that one broadcast may hold; a larger benchmark is searched in several passes.
-BENCHMARK_BYTES = 32 << 20
+#: Benchmark text that one broadcast may hold; a larger benchmark is searched in several passes. A worker's tables
+#: take about 30 times as much memory.
+BENCHMARK_BYTES = 8 << 20
 
 
 def bench_words(text: bytes) -> list[bytes]:
@@ -27,76 +33,106 @@ def bench_words(text: bytes) -> list[bytes]:
 
 
 class WuManber:
-    """Search of many word sequences at once; each pattern carries a set of numbers (its items)."""
+    """Search of many word sequences at once; each pattern carries a set of numbers (its items).
+
+    Patterns stand as places in one list of words, and blocks as their hashes: a block that shares its hash with
+    another shifts by the lesser of both distances, and occurrences are confirmed word by word.
+    """
 
     def __init__(self, patterns: dict[tuple[bytes, ...], set[int]]):
-        by_length: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
-        for p in patterns:
-            by_length[len(p)].append(p)
-        self.items = patterns
-        self.groups = []
-        for m, group in sorted(by_length.items()):
-            size = min(2, m)
-            shift: dict = {}
-            bucket: dict = defaultdict(list)
-            for p in group:
-                for end in range(size, m + 1):
-                    block = p[end - size : end] if size == 2 else p[0]
-                    shift[block] = min(shift.get(block, m), m - end)
-                bucket[p[m - size :] if size == 2 else p[0]].append(p)
-            self.groups.append((m, shift, dict(bucket)))
+        self._build((list(p), len(p), which) for p, which in patterns.items())
+
+    @classmethod
+    def of_texts(cls, texts: Iterable[tuple[int | None, bytes]], size: int) -> WuManber:
+        """Patterns are the texts' runs of ``size`` words; a shorter text that has words is one run."""
+        out = cls.__new__(cls)
+        out._build((bench_words(body), size, [] if item is None else [item]) for item, body in texts)
+        return out
+
+    def _build(self, texts: Iterable[tuple[list[bytes], int, Iterable[int]]]) -> None:
+        self.words: list[bytes] = []
+        self.items: list[tuple[int, ...]] = []
+        owner, starts = array("i"), defaultdict(lambda: array("i"))
+        known: dict[bytes, bytes] = {}
+        for words, size, which in texts:
+            if words:
+                m = min(size, len(words))
+                starts[m].extend(range(len(self.words), len(self.words) + len(words) - m + 1))
+                owner.extend([len(self.items)] * len(words))
+                self.words.extend(known.setdefault(w, w) for w in words)
+                self.items.append(tuple(which))
+        self.owner = owner
+        self.groups = [(m, *self._tables(m, starts[m])) for m in sorted(starts)]
+
+    def _tables(self, m: int, starts: array) -> tuple[dict[int, int], list[int], array, array]:
+        """Shifts by block (below 0: the bucket of patterns that end in it, less one), and buckets sorted by the patterns' hashes."""
+        words, size = self.words, min(2, m)
+        shift: dict[int, int] = {}
+        for p in starts:
+            for end in range(size, m + 1):
+                block = hash(tuple(words[p + end - size : p + end]))
+                if shift.get(block, m) > m - end:
+                    shift[block] = m - end
+        blocks = np.fromiter((hash(tuple(words[p + m - size : p + m])) for p in starts), np.int64, len(starts))
+        hashes = np.fromiter((hash(tuple(words[p : p + m])) for p in starts), np.int64, len(starts))
+        order = np.lexsort((hashes, blocks))
+        blocks = blocks[order]
+        bounds = np.flatnonzero(np.diff(blocks, prepend=~blocks[:1]))
+        for k, block in enumerate(blocks[bounds].tolist(), 1):
+            shift[block] = -k
+        places = np.frombuffer(starts, dtype=np.int32)[order]
+        return shift, [*bounds.tolist(), len(blocks)], array("q", hashes[order].tobytes()), array("i", places.tobytes())
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Spans of all occurrences as (start, end), ordered within each pattern length, and the items that occur."""
         spans: list[tuple[int, int]] = []
-        items: set[int] = set()
+        found: set[int] = set()
         n = len(words)
-        for m, shift, bucket in self.groups:
+        for m, shift, bounds, hashes, places in self.groups:
             if n < m:
                 break
-            if m == 1:
-                for i, w in enumerate(words):
-                    if w in bucket:
-                        spans.append((i, i + 1))
-                        items |= self.items[(w,)]
-                continue
-            get, far, i = shift.get, m - 1, m - 1
+            get, far, i = shift.get, max(m - 1, 1), m - 1
             while i < n:
-                block = (words[i - 1], words[i])
-                step = get(block, far)
-                if step:
+                step = get(hash((words[i - 1], words[i])) if m > 1 else hash((words[i],)), far)
+                if step > 0:
                     i += step
                     continue
-                window = tuple(words[i - m + 1 : i + 1])
-                for p in bucket[block]:
-                    if p == window:
-                        spans.append((i - m + 1, i + 1))
-                        items |= self.items[p]
+                window = words[i - m + 1 : i + 1]
+                key, end = hash(tuple(window)), bounds[-step]
+                k, hit = bisect_left(hashes, key, bounds[-step - 1], end), False
+                while k < end and hashes[k] == key:
+                    p = places[k]
+                    if self.words[p : p + m] == window:
+                        hit = True
+                        found.add(self.owner[p])
+                    k += 1
+                if hit:
+                    spans.append((i - m + 1, i + 1))
                 i += 1
-        return spans, items
+        return spans, {x for o in found for x in self.items[o]}
+
+
+#: The search tables of the worker's last benchmark part, by name.
+_BUILT: dict[str, tuple] = {}
 
 
-def windows(words: list[bytes], size: int) -> Iterator[tuple[bytes, ...]]:
-    """Runs of ``size`` words; a shorter text that has words is one run."""
-    if words:
-        for i in range(max(1, len(words) - size + 1)):
-            yield tuple(words[i : i + size])
+def _built(shared, name: str, size: int) -> tuple[WuManber, list[str]]:
+    kept_by("decontamination", _BUILT)
+    if name not in _BUILT:
+        _BUILT.clear()
+        rows = shared.value
+        names = sorted({item for item, _ in rows if item is not None})
+        number = {x: k for k, x in enumerate(names)}
+        _BUILT[name] = (WuManber.of_texts(((None if item is None else number[item], body) for item, body in rows), size), names)
+    return _BUILT[name]
 
 
 def _search(docs: DataFrame, rows: list, size: int, doc_id: str, text: str, keep: str | None) -> DataFrame:
     """One pass over the documents with the patterns of ``rows`` (item as string, text as bytes)."""
-    names = sorted({r[0] for r in rows if r[0] is not None})
-    number = {x: k for k, x in enumerate(names)}
-    patterns: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
-    for item, body in rows:
-        for p in windows(bench_words(bytes(body or b"")), size):
-            patterns[p] |= {number[item]} if item is not None else set()
-    shared = docs.sparkSession.sparkContext.broadcast((dict(patterns), names))
+    shared, name = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_by("decontamination")
-        patterns, names = shared.value
-        search = WuManber(patterns)
+        search, names = _built(shared, name, size)
         for whole in batches:
             for batch in slices(whole, "__text"):
                 n_words, spans, items = [], [], []
@@ -127,16 +163,14 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_parts(benchmark: DataFrame, item_id: str, text: str, limit: int) -> list[list]:
-    """The benchmark's rows in parts of about ``limit`` bytes, each small enough to broadcast."""
+def benchmark_parts(benchmark: DataFrame, item_id: str, text: str, limit: int) -> tuple[int, Iterator[list]]:
+    """How many parts of about ``limit`` bytes the benchmark has, and their rows (item, body), one part at a time."""
     body = F.coalesce(benchmark[text], F.lit("")).cast("binary")
     total = benchmark.agg(F.sum(F.length(body))).first()[0] or 0
     n = max(1, -(-2 * total // limit)) if total > limit else 1
     rows = benchmark.select(benchmark[item_id].cast("string").alias("item"), body.alias("body"))
-    if n == 1:
-        return [rows.collect()]
     part = F.pmod(F.xxhash64("item", "body"), F.lit(n))
-    return [rows.where(part == k).collect() for k in range(n)]
+    return n, ([(r.item, bytes(r.body)) for r in rows.where(part == k).toLocalIterator()] for k in range(n))
 
 
 def decontaminate(
@@ -161,12 +195,12 @@ def decontaminate(
     are read once and nothing is shuffled. A larger one takes a pass for each part, whose rows meet by
     document and text.
     """
-    parts = benchmark_parts(benchmark, item_id, item_text, benchmark_bytes)
+    n_parts, parts = benchmark_parts(benchmark, item_id, item_text, benchmark_bytes)
     hit = F.aggregate(
         F.transform(F.col("spans"), lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x
     )
-    if len(parts) == 1:
-        return _search(docs, parts[0], window, doc_id, text, None).withColumn("n_hit", hit)
+    if n_parts == 1:
+        return _search(docs, next(parts), window, doc_id, text, None).withColumn("n_hit", hit)
     keyed = docs.select(F.col(doc_id), F.col(text), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("__key"))
     found = [_search(keyed, rows, window, doc_id, text, "__key") for rows in parts]
     rest = found[0]
@@ -180,7 +214,7 @@ def decontaminate(
         F.first("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("pairs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count(F.lit(1)) / len(parts)).cast("int").alias("copies"),
+        (F.count(F.lit(1)) / n_parts).cast("int").alias("copies"),
     )
     empty = F.array().cast("array<int>")
     joined = F.aggregate(
@@ -201,22 +235,21 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share
     columns = [F.col(f"`{c}`") for c in docs.columns]
     names = [f"c{k}" for k in range(len(columns))]
     rows = docs.select(*(c.alias(n) for c, n in zip(columns, names, strict=True)), text_bytes(docs, text).alias("__text"), F.array().cast("array<int>").alias("__spans"))
-    parts = benchmark_parts(benchmark, item_id, item_text, benchmark_bytes)
+    n_parts, parts = benchmark_parts(benchmark, item_id, item_text, benchmark_bytes)
     schema = rows.schema
     for k, part in enumerate(parts):
-        patterns: dict[tuple[bytes, ...], set[int]] = {}
-        for _, body in part:
-            patterns |= {p: set() for p in windows(bench_words(bytes(body or b"")), window)}
-        rows = rows.mapInArrow(_adding_hits(docs.sparkSession.sparkContext.broadcast(patterns), share if k == len(parts) - 1 else None), schema)
+        last = k == n_parts - 1
+        rows = rows.mapInArrow(_adding_hits(docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex, window, share if last else None), schema)
+        if not last:  # else the tables of all parts would be in memory at once
+            rows = written(rows, "hits")
     return rows.drop("__text", "__spans").toDF(*docs.columns)
 
 
-def _adding_hits(shared, share: int | None):
+def _adding_hits(shared, name: str, size: int, share: int | None):
     """A worker's function that adds spans and, with ``share``, drops the rows that have too many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_by("decontamination")
-        search = WuManber(shared.value)
+        search, _ = _built(shared, name, size)
         for whole in batches:
             for batch in slices(whole, "__text"):
                 spans, keep = [], []

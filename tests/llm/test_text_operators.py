@@ -223,6 +223,10 @@ def test_decontamination(spark, edge, limit):
         n, hit, named = plain_hits(r.text, ITEMS)
         want[r.doc_id, n, len(hit), tuple(named)] += 1
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect()) == want
+    clean = decontam.keep_clean(edge, items, benchmark_bytes=limit)
+    assert clean.columns == edge.columns
+    kept = Counter({(i, n, h, x): c for (i, n, h, x), c in want.items() if not h or 20 * h < n})
+    assert Counter(r.doc_id for r in clean.select("doc_id").collect()) == Counter(i for (i, *_), c in kept.items() for _ in range(c))
     kept = decontam.keep_clean(edge, items, benchmark_bytes=limit)
     clean = [tuple(r) for r in edge.collect() if not (h := plain_hits(r.text, ITEMS))[1] or 20 * len(h[1]) < h[0]]
     assert kept.columns == edge.columns and Counter(map(tuple, kept.collect())) == Counter(clean)
