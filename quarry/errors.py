@@ -6,7 +6,14 @@ class BlockError(ValueError):
 
 
 class NeedMore(BlockError):
-    """The input ends inside a value: more bytes may complete it."""
+    """The input ends inside a value: more bytes may complete it.
+
+    ``at`` is a length that the input must have at least before another try gets any further; 0 if that is not known.
+    """
+
+    def __init__(self, message: str, at: int = 0):
+        super().__init__(message)
+        self.at = at
 
 
 class UnsupportedType(BlockError):

@@ -8,7 +8,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 
@@ -34,6 +34,25 @@ class BlockEntry:
     columns: int
 
 
+@dataclass
+class Progress:
+    """How far a scan of one block got before the input ended: whole columns, and strings within the next one."""
+
+    pos: int = 0
+    shape: tuple[int, int] | None = None
+    fields: list = field(default_factory=list)
+    marks: dict = field(default_factory=dict)
+    #: The length that the input must have before another try gets any further.
+    needs: int = 0
+
+    def shift(self, n: int) -> None:
+        """The input's first ``n`` bytes, all before this block, were taken off."""
+        if self.shape is not None:
+            self.pos -= n
+        self.marks = {at - n: (done, pos - n) for at, (done, pos) in self.marks.items()}
+        self.needs = max(0, self.needs - n)
+
+
 def check_revision(revision: int) -> None:
     if not 0 <= revision <= NEWEST:
         raise UnsupportedRevision(f"revision {revision} is not in 0..{NEWEST}")
@@ -52,7 +71,7 @@ def _read_info(r: Reader, revision: int) -> None:
         elif number == 3 and revision >= BUCKETS_REVISION:
             n = r.varint()
             if 4 * n > r.remaining:
-                raise NeedMore("bucket numbers are cut short")
+                raise NeedMore("bucket numbers are cut short", r.pos + 4 * n)
             r.skip(4 * n)
         else:
             raise InvalidBlockInfo(f"unknown field {number}")
@@ -90,29 +109,38 @@ def _least_row(t: T) -> int:
     return fixed_width(t) or (0 if t.kind == "JSON" else 1)
 
 
-def _walk(r: Reader, o: Options, visit) -> tuple[int, int, list[tuple[str, T]]]:
-    """One block: calls ``visit(name, type, rows, reader, state)`` at each column's body."""
-    check_revision(o.revision)
-    if o.revision:
-        _read_info(r, o.revision)
-    columns, rows = r.varint(), r.varint()
-    if columns == 0 and rows:
-        raise InvalidData("a block of no columns has rows")
-    if 2 * columns > r.remaining:
-        raise NeedMore("column headers are cut short")
-    fields = []
-    for _ in range(columns):
+def _walk(r: Reader, o: Options, visit, progress: Progress | None = None) -> tuple[int, int, list[tuple[str, T]]]:
+    """One block: calls ``visit(name, type, rows, reader, state)`` at each column's body.
+
+    With ``progress``, which keeps what is known of the columns passed, goes on behind the last of them.
+    """
+    progress = progress or Progress()
+    if progress.shape is None:
+        check_revision(o.revision)
+        if o.revision:
+            _read_info(r, o.revision)
+        columns, rows = r.varint(), r.varint()
+        if columns == 0 and rows:
+            raise InvalidData("a block of no columns has rows")
+        if 2 * columns > r.remaining:
+            raise NeedMore("column headers are cut short", r.pos + 2 * columns)
+        progress.shape, progress.pos = (columns, rows), r.pos
+    (columns, rows), r.pos, fields = progress.shape, progress.pos, progress.fields
+    while len(fields) < columns:
         name, t = _column_header(r, o)
-        fields.append((name, t))
         if rows * _least_row(t) > r.remaining:
             if rows > 1 << 40:
                 raise ResourceLimit(f"a block claims {rows} rows")
-            raise NeedMore(f"column {name} is cut short")
+            raise NeedMore(f"column {name} is cut short", r.pos + rows * _least_row(t))
         if rows:
             state = read_prefix(t, r, o)
             visit(name, t, rows, r, state)
         else:
             visit(name, t, 0, r, None)
+        fields.append((name, t))
+        progress.pos = r.pos
+        if r.marks:
+            r.marks.clear()
     return columns, rows, fields
 
 
@@ -170,14 +198,19 @@ def read_first_schema(chunks: Iterable[bytes], o: Options) -> list[tuple[str, T]
     return read_schema(bytes(held), o)
 
 
-def block_end(data: bytes, o: Options, start: int = 0) -> BlockEntry | None:
-    """Where the block at ``start`` ends, by skipping only; None if the input ends at or within it."""
+def block_end(data: bytes, o: Options, start: int = 0, progress: Progress | None = None) -> BlockEntry | None:
+    """Where the block at ``start`` ends, by skipping only; None if the input ends at or within it.
+
+    With ``progress``, which belongs to this block, a later try with more of the input goes on where this one ended.
+    """
     if start >= len(data):
         return None
-    r = Reader(data, start)
+    known = Progress() if progress is None else progress
+    r = Reader(data, start, known.marks if progress is not None else None)
     try:
-        columns, rows, _ = _walk(r, o, lambda name, t, rows, r, s: skip_body(t, rows, r, s, o) if rows else None)
-    except NeedMore:
+        columns, rows, _ = _walk(r, o, lambda name, t, rows, r, s: skip_body(t, rows, r, s, o) if rows else None, known)
+    except NeedMore as e:
+        known.needs = max(e.at, len(data) + 1)
         return None
     return BlockEntry(start, r.pos - start, rows, columns)
 

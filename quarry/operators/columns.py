@@ -267,7 +267,7 @@ def _offsets(n: int, r: Reader) -> np.ndarray:
     if out[-1] > 0x7FFFFFFF:
         raise InvalidData("an Array has too many elements for one block")
     if out[-1] > r.remaining:
-        raise NeedMore("an Array's elements are cut short")
+        raise NeedMore("an Array's elements are cut short", r.pos + int(out[-1]))
     return out.astype("<i4")
 
 

@@ -56,7 +56,7 @@ class Codec:
             return np.arange(1, n + 1, dtype=np.int64)
         buf, p, w = r.buf, r.pos, self.width + 1
         if n > r.remaining:
-            raise NeedMore(f"{n} states need at least as many bytes")
+            raise NeedMore(f"{n} states need at least as many bytes", r.pos + n)
         for i in range(n):
             if p >= r.end:
                 raise NeedMore("a state is cut short")

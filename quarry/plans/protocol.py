@@ -12,7 +12,7 @@ from enum import Enum
 
 from quarry.errors import BlockError, CompressionError, NeedMore, ProtocolError
 from quarry.functions.wire import Reader, string, u64, varint
-from quarry.operators.blocks import block_end
+from quarry.operators.blocks import block_end, Progress
 from quarry.operators.columns import Options
 from quarry.operators.compression import CHECKSUM, HEADER, compress_frame, compress_frames, decompress_frame, frame_header
 
@@ -107,7 +107,10 @@ class Connection:
         self.hello, self.compressed, self.max_block_bytes = hello or ClientHello(), compressed, max_block_bytes
         self.state, self.revision = State.HANDSHAKING, REVISION
         self._in, self._out, self._events = bytearray(), bytearray(self.hello.encode()), []
-        self._answered = True
+        self._answered, self._sent_settings = True, False
+        # Of a packet that is not complete: the length its input must have, how far its block was scanned, and of
+        # a framed block the bytes passed and what they hold.
+        self._needs, self._progress, self._frames = 0, Progress(), (0, bytearray())
 
     # ---- calls
 
@@ -133,7 +136,7 @@ class Connection:
     def _start(self, query: Query, state: State) -> None:
         self._need(State.READY)
         self._out += query.encode(self.hello, self.compressed) + data_packet(EMPTY_BLOCK, self.compressed)
-        self.state, self._answered = state, False
+        self.state, self._answered, self._sent_settings = state, False, bool(query.settings)
 
     def insert_data(self, block: bytes) -> None:
         """Queues one whole block with columns."""
@@ -159,14 +162,17 @@ class Connection:
         """Takes bytes from the server; incomplete packets wait for more."""
         self._need(*(s for s in State if s not in (State.FAILED, State.CLOSED)))
         self._in += data
+        if len(self._in) < self._needs:
+            return
         r = Reader(bytes(self._in))
-        done = 0
+        done = self._needs = 0
         try:
             while r.remaining:
                 self._packet(r)
                 done = r.pos
-        except NeedMore:
-            pass
+        except NeedMore as e:
+            self._needs = max(e.at, r.end + 1) - done
+            self._progress.shift(0 if self._frames[1] else done)
         except (BlockError, UnicodeDecodeError) as e:
             self.state = State.FAILED
             raise e if isinstance(e, ProtocolError) else ProtocolError(str(e)) from e
@@ -245,7 +251,9 @@ class Connection:
         name, message, stack = (self._text(r, MAX_EXCEPTION) for _ in range(3))
         if r.u8():
             raise ProtocolError("nested exceptions are not sent at this revision")
-        fatal = self.state == State.HANDSHAKING or code in TERMINAL or not self._answered and self.state == State.AWAITING_INSERT_SCHEMA and code in TERMINAL
+        # The server reads settings before anything else of a query: what fails there ends the connection, and the
+        # packet does not tell it from other errors. After an earlier answer, the settings were read.
+        fatal = self.state == State.HANDSHAKING or code in TERMINAL or self._sent_settings and not self._answered
         self.state = State.FAILED if fatal else State.READY
         self._emit("exception", code=code, name=name, message=message, stack=stack)
 
@@ -262,27 +270,34 @@ class Connection:
         self._emit(kind, block, rows=entry.rows, columns=entry.columns)
 
     def _plain_block(self, r: Reader) -> bytes:
-        entry = block_end(r.buf, Options(revision=self.revision), r.pos)
+        entry = block_end(r.buf, Options(revision=self.revision), r.pos, self._progress)
         if entry is None:
             if r.remaining > self.max_block_bytes:
                 raise ProtocolError("a block is too large")
-            raise NeedMore("a block is cut short")
+            raise NeedMore("a block is cut short", self._progress.needs)
+        self._progress = Progress()
         return r.take(entry.length)
 
     def _framed_block(self, r: Reader) -> bytes:
-        plain = bytearray()
+        passed, plain = self._frames
+        r.skip(passed)
         while True:
             if r.remaining < CHECKSUM + HEADER:
-                raise NeedMore("a frame is cut short")
+                raise NeedMore("a frame is cut short", r.pos + CHECKSUM + HEADER)
             f = frame_header(r.buf, r.pos)
             if len(plain) + f.plain > self.max_block_bytes:
                 raise ProtocolError("a block is too large")
             if f.length > r.remaining:
-                raise NeedMore("a frame is cut short")
+                raise NeedMore("a frame is cut short", r.pos + f.length)
             plain += decompress_frame(r.buf, r.pos)[0]
             r.skip(f.length)
-            entry = block_end(bytes(plain), Options(revision=self.revision))
+            passed += f.length
+            self._frames = (passed, plain)
+            if len(plain) < self._progress.needs:
+                continue
+            entry = block_end(bytes(plain), Options(revision=self.revision), 0, self._progress)
             if entry is not None:
+                self._progress, self._frames = Progress(), (0, bytearray())
                 if entry.length != len(plain):
                     raise CompressionError("a frame reaches beyond its block")
                 return bytes(plain)

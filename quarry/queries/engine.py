@@ -237,6 +237,25 @@ def stream_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("block").mapInArrow(run, StructType(spark_schema(fields).fields))
 
 
+def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of several blocks in pieces of 64 bytes: each block is out with its last byte, and nothing is finished."""
+    o = Options(revision=54460)
+    fields = block_fields(lineitem(spark, sf_dir).schema, TYPES)
+    blocks = encode_blocks(lineitem(spark, sf_dir), TYPES, o, block_rows=2000)
+
+    def run(batches):
+        decoder = StreamDecoder(o)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                last = (len(data) - 1) // 64 * 64
+                for at in range(0, len(data), 64):
+                    for found in decoder.feed(data[at : at + 64]):
+                        if at == last and not decoder.buffered_bytes:
+                            yield found.replace_schema_metadata(None)
+
+    return blocks.select("block").mapInArrow(run, StructType(spark_schema(fields).fields))
+
+
 def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block files read by a stream until all is taken, then the table it wrote."""
     path = _written(spark, lineitem(spark, sf_dir).repartition(4, "l_orderkey"), TYPES, revision="54460", blockRows="500")
@@ -318,6 +337,7 @@ def _entries() -> dict[str, tuple[Query, str]]:
         "comp_frame_header": (frame_headers, "SELECT 'lz4' AS method, true AS whole, 2 + 1 + 11 + 1 + 5 + 1 + 6 + 1 + 6 + sum(4 + 1 + strlen(r_name))::BIGINT AS plain, true AS ok FROM region"),
         "comp_checksum": (spoiled_checksums, "SELECT true AS all_found"),
         "stream_feed_chunks": (stream_feed, _SELECT),
+        "stream_feed_live": (stream_live, _SELECT),
         "stream_files": (stream_files, _SELECT),
         "stream_finish_truncated": (stream_truncated, "SELECT 0::BIGINT AS left, 'cut short' AS message"),
         "arrow_batch": (_through(block_rows=512), _SELECT),

@@ -234,12 +234,14 @@ def _insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _exception_row(r: dict) -> dict:
     c = protocol.Connection()
     c.feed(protocol.server_hello())
-    c.query(protocol.Query("SELECT 1"))
+    c.query(protocol.Query("SELECT 1", settings={"max_threads": "1"} if r["settings"] else {}))
+    if r["answered"]:
+        c.feed(protocol.server_progress(1, 2, 3, 4, 5, 6))
     c.feed(protocol.server_exception(r["code"], "Error", "message " + str(r["code"])))
     events = []
     while (e := c.poll_event()) is not None:
         events.append(e)
-    return {"code": events[-1].fields["code"], "message": events[-1].fields["message"], "usable": c.state == protocol.State.READY}
+    return {"code": events[-1].fields["code"], "settings": r["settings"], "answered": r["answered"], "message": events[-1].fields["message"], "usable": c.state == protocol.State.READY}
 
 
 def _query_row(r: dict) -> dict:
@@ -287,7 +289,11 @@ def _entries() -> dict[str, tuple[Query, str]]:
         "tcp_profile_info": (profile_info, "SELECT count(*) AS rows FROM orders"),
         "tcp_totals": (_extra_block(protocol.TOTALS, "totals", "SELECT count(*) AS n, max(o_orderkey) AS k FROM quarry_orders", {"n": "Int64", "k": "Int64"}, "n long, k long"), "SELECT count(*) AS n, max(o_orderkey) AS k FROM orders"),
         "tcp_extremes": (_extra_block(protocol.EXTREMES, "extremes", "SELECT min(o_orderkey) AS k FROM quarry_orders UNION ALL SELECT max(o_orderkey) FROM quarry_orders", {"k": "Int64"}, "k long"), "SELECT min(o_orderkey) AS k FROM orders UNION ALL SELECT max(o_orderkey) FROM orders"),
-        "tcp_exception": (_mapped([(60,), (99,), (701,), (749,)], "code long", "code long, message string, usable boolean", _exception_row), "SELECT code::BIGINT AS code, 'message ' || code AS message, code NOT IN (99, 101, 702, 720, 749) AS usable FROM (VALUES (60), (99), (701), (749)) AS t(code)"),
+        "tcp_exception": (
+            _mapped([(c, s, a) for c in (60, 99, 115, 701, 749) for s in (False, True) for a in (False, True)], "code long, settings boolean, answered boolean", "code long, settings boolean, answered boolean, message string, usable boolean", _exception_row),
+            "SELECT code::BIGINT AS code, settings, answered, 'message ' || code AS message, code NOT IN (99, 101, 702, 720, 749) AND (answered OR NOT settings) AS usable "
+            "FROM (VALUES (60), (99), (115), (701), (749)) AS t(code), (VALUES (false), (true)) AS s(settings), (VALUES (false), (true)) AS a(answered)",
+        ),
     }
     return both
 

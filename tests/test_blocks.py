@@ -121,6 +121,39 @@ def test_streams_do_not_depend_on_pieces(texts, piece):
     assert [r for f in found for r in f.column(0).to_pylist()] == texts * 2
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(max_size=200), min_size=1, max_size=30), st.integers(1, 40))
+def test_blocks_come_out_with_their_last_byte(texts, piece):
+    rows = [{"a": i, "b": t} for i, t in enumerate(texts)]
+    b, fields = batch(s=("String", texts), l=("Array(Nullable(String))", [[t, None] for t in texts]), m=("Map(String, UInt32)", [[(t, 7)] for t in texts]), i=("Int64", [r["a"] for r in rows]))
+    o = Options(revision=54485)
+    data = write_block(b, fields, o)
+    decoder = StreamDecoder(o)
+    for _ in range(3):
+        for at in range(0, len(data) - 1, piece):
+            assert decoder.feed(data[at : min(at + piece, len(data) - 1)]) == []
+        assert decoder.buffered_bytes == len(data) - 1
+        (found,) = decoder.feed(data[-1:])
+        assert found.column(0).to_pylist() == texts and decoder.buffered_bytes == 0
+    both = decoder.feed(data + data + data[:5])
+    assert len(both) == 2 and decoder.buffered_bytes == 5
+    assert len(decoder.feed(data[5:])) == 1 and decoder.finish() == []
+
+
+def test_small_pieces_cost_few_scans(monkeypatch):
+    from quarry.streaming import decoder as module
+
+    tries = []
+    monkeypatch.setattr(module, "block_end", lambda *a: tries.append(1) or block_end(*a))
+    texts = [f"value {i} " * (i % 9) for i in range(20_000)]
+    b, fields = batch(s=("String", texts), t=("Array(String)", [[t] for t in texts]), i=("Int64", list(range(20_000))))
+    data = write_block(b, fields, Options())
+    decoder, found = StreamDecoder(Options()), []
+    for at in range(0, len(data), 64):
+        found += decoder.feed(data[at : at + 64])
+    assert len(found) == 1 and len(tries) < 1500 < len(data) // 64
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.binary(max_size=400), max_size=50))
 def test_strings(rows):

@@ -81,3 +81,40 @@ def test_insert():
     c.finish_insert()
     c.feed(p.varint(p.END_OF_STREAM))
     assert c.state == p.State.READY
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_packets_in_pieces(compressed):
+    block = p.EMPTY_BLOCK
+    from quarry.functions.types import parse
+    from quarry.operators.blocks import write_block
+    from quarry.operators.columns import Options
+    import pyarrow as pa
+
+    texts = [f"row {i} " * (i % 7) for i in range(3000)]
+    block = write_block(pa.RecordBatch.from_arrays([pa.array(texts)], names=["x"]), [("x", parse("String"))], Options(revision=p.REVISION))
+    body = compress_frames(block, "lz4", 4096) if compressed else block
+    sent = p.server_hello() + b"".join([p.varint(p.DATA) + p.string("") + body, p.server_progress(1, 2, 3, 4, 5, 6)] * 2)
+    for piece in (1, 61, 5000, len(sent)):
+        c = p.Connection(compressed=compressed)
+        hello = len(p.server_hello())
+        c.feed(sent[:hello])
+        c.query(p.Query("SELECT x"))
+        for at in range(hello, len(sent), piece):
+            c.feed(sent[at : at + piece])
+        events = []
+        while (e := c.poll_event()) is not None:
+            events.append(e)
+        assert [e.kind for e in events] == ["hello", "data", "progress", "data", "progress"]
+        assert events[1].block == events[3].block == block
+
+
+def test_first_answers_after_settings_fail_closed():
+    for settings, answered, usable in ((False, False, True), (True, False, False), (True, True, True)):
+        c = p.Connection()
+        c.feed(p.server_hello())
+        c.query(p.Query("SELECT 1", settings={"a": "1"} if settings else {}))
+        if answered:
+            c.feed(p.server_progress(1, 2, 3, 4, 5, 6))
+        c.feed(p.server_exception(115, "E", "unknown setting"))
+        assert c.state == (p.State.READY if usable else p.State.FAILED)
