@@ -435,14 +435,22 @@ def _check_pathless(j, n: int, s: State, o: Options) -> None:
 
 
 def _nested(flat: dict) -> dict:
-    """An object of dotted paths as nested objects, keys in order."""
+    """An object of dotted paths as nested objects, keys in order.
+
+    Where a path goes on below a value (``a`` and ``a.b``), its rest stays a dotted key beside that value.
+    """
     out: dict = {}
+    made = {id(out)}
     for path in sorted(flat):
-        at = out
-        *parents, leaf = path.split(".")
-        for p in parents:
-            at = at.setdefault(p, {})
-        at[leaf] = flat[path]
+        at, keys = out, path.split(".")
+        while len(keys) > 1:
+            inside = at.setdefault(keys[0], {})
+            if inside == {}:
+                made.add(id(inside))
+            if id(inside) not in made:
+                break
+            at, keys = inside, keys[1:]
+        at[".".join(keys)] = flat[path]
     return out
 
 
@@ -835,7 +843,10 @@ def _write_json(t: T, a: pa.Array, o: Options, head: list[bytes], body: list[byt
         offsets, data = _string_buffers(a)
         body.append(wire.write_strings(offsets, data))
         return
-    flat = [_paths(json.loads(x)) for x in a.to_pylist()]
+    objects = [json.loads(x) for x in a.to_pylist()]
+    if not all(isinstance(x, dict) for x in objects):
+        raise InconsistentBatch("a JSON value is not an object")
+    flat = [_paths(x) for x in objects]
     typed = dict(j.typed)
     found = sorted({p for row in flat for p in row if p not in typed})
     kept = found if o.flattened else found[: j.max_paths]

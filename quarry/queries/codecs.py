@@ -91,8 +91,10 @@ def _cases() -> dict[str, Case]:
         c[f"codec_decimal{bits}"] = _line("x", f"cast({value} AS decimal({p},{s}))", f"Decimal({p}, {s})", "cast(x * 100 AS bigint)", f"{cents} % 1000000" if bits == 32 else cents)
     for name, width in (("int128", 16), ("uint128", 16), ("int256", 32), ("uint256", 32)):
         kind = ("UInt" if name[0] == "u" else "Int") + name.lstrip("u").removeprefix("int")
-        c[f"codec_{name}"] = _line("x", f"unhex(rpad(lpad(hex(l_orderkey % 200), 2, '0'), {2 * width}, '0'))", kind, "cast(conv(substr(hex(x), 1, 2), 16, 10) AS bigint) + length(x) * 1000", f"l_orderkey % 200 + {width * 1000}")
-    c["codec_decimal256"] = _line("x", "unhex(rpad(lpad(hex(l_orderkey % 200), 2, '0'), 64, '0'))", "Decimal(76, 20)", "cast(conv(substr(hex(x), 1, 2), 16, 10) AS bigint)", "l_orderkey % 200")
+        digest = {16: "md5({})", 32: "sha2({}, 256)"}[width].format("cast(l_orderkey * 8 + l_linenumber AS string)")
+        plain = {16: "md5({})", 32: "sha256({})"}[width].format("(l_orderkey * 8 + l_linenumber)::VARCHAR")
+        c[f"codec_{name}"] = _line("x", f"unhex({digest})", kind, "lower(hex(x))", plain)
+    c["codec_decimal256"] = _line("x", "unhex(rpad(substr(sha2(cast(l_orderkey AS string), 256), 1, 60), 64, '0'))", "Decimal(76, 20)", "lower(hex(x))", "rpad(sha256(l_orderkey::VARCHAR)[1:60], 64, '0')")
     # ---- nulls and dictionaries
     c["codec_nullable_int"] = _line("x", "nullif(l_linenumber, 1)", "Nullable(Int32)", "x", "nullif(l_linenumber, 1)")
     c["codec_nullable_string"] = Case("conversations", {"k": ("conv_id", "Int64"), "t": ("turn", "Int64"), "x": ("nullif(role, 'user')", "Nullable(String)")}, "k; t; x AS v", "SELECT conv_id AS k, turn AS t, nullif(role, 'user') AS v FROM conversations")
@@ -120,17 +122,20 @@ def _cases() -> dict[str, Case]:
     entry = "array(struct('q' AS key, {0} AS value), struct('d' AS key, {1} AS value))"
     c["codec_map"] = Case("lineitem", line | {"x": (entry.format("l_quantity", "l_discount"), "Map(String, Float64)")}, "k; n; filter(x, e -> e.key = 'q')[0].value AS q; filter(x, e -> e.key = 'd')[0].value AS d", sql.format("l_quantity AS q, l_discount AS d"))
     c["codec_map_lc_key"] = Case("lineitem", line | {"x": ("array(struct(l_returnflag AS key, l_linenumber AS value))", "Map(LowCardinality(String), UInt8)")}, "k; n; x[0].key AS a; cast(x[0].value AS int) AS b", sql.format("l_returnflag AS a, l_linenumber AS b"))
-    c["codec_map_array_value"] = Case("lineitem", line | {"x": ("array(struct(l_returnflag AS key, array(l_linenumber, l_linenumber + 1) AS value))", "Map(String, Array(Int32))")}, "k; n; x[0].key AS a; x[0].value[1] AS b", sql.format("l_returnflag AS a, l_linenumber + 1 AS b"))
+    c["codec_map_array_value"] = Case("lineitem", line | {"x": ("array(struct(l_returnflag AS key, array(l_linenumber, l_linenumber + 1) AS value))", "Map(String, Array(Int32))")}, "k; n; x[0].key AS a; array_join(x[0].value, ',') AS b", sql.format("l_returnflag AS a, l_linenumber || ',' || (l_linenumber + 1) AS b"))
     c["codec_nested"] = Case(grouped, key | {"x": ("array_sort(collect_list(struct(l_linenumber AS line, l_returnflag AS flag)))", "Nested(line UInt32, flag String)")}, "k; array_join(transform(x, e -> concat(e.line, e.flag)), ',') AS v", agg.format("string_agg(l_linenumber || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag)"))
     # ---- geometry
-    point = "struct(l_quantity AS `1`, l_discount AS `2`)"
-    shape, last = point, "x"
-    for name, depth in (("point", 0), ("ring", 1), ("linestring", 1), ("multipoint", 1), ("multilinestring", 2), ("polygon", 2), ("multipolygon", 3)):
-        shape, last = point, "x"
-        for _i in range(depth):
-            shape, last = f"array({shape}, {shape})", f"{last}[1]"
-        kind = {"point": "Point", "ring": "Ring", "linestring": "LineString", "multipoint": "MultiPoint", "multilinestring": "MultiLineString", "polygon": "Polygon", "multipolygon": "MultiPolygon"}[name]
-        c[f"codec_{name}"] = Case("lineitem", line | {"x": (shape, kind)}, f"k; n; {last}.`1` AS a; {last}.`2` AS b", sql.format("l_quantity AS a, l_discount AS b"))
+    point, other = "struct(l_quantity AS `1`, l_discount AS `2`)", "struct(l_discount AS `1`, l_linenumber + 0.5D AS `2`)"
+    line1 = f"array({point}, {other})"
+    line2 = f"array({line1}, array({other}))"
+    line3 = f"array({line2}, array(array({point}, {other}, {point})))"
+    shapes = ((point, "array(x)", "p"), (line1, "x", "pq"), (line2, "flatten(x)", "pqq"), (line3, "flatten(flatten(x))", "pqqpqp"))
+    values = {"p": "(l_quantity * 100)::BIGINT || ' ' || round(l_discount * 100)::BIGINT", "q": "round(l_discount * 100)::BIGINT || ' ' || (l_linenumber * 100 + 50)"}
+    for kind, depth in (("Point", 0), ("Ring", 1), ("LineString", 1), ("MultiPoint", 1), ("MultiLineString", 2), ("Polygon", 2), ("MultiPolygon", 3)):
+        shape, points, order = shapes[depth]
+        shown = f"array_join(transform({points}, e -> concat(cast(round(e.`1` * 100) AS bigint), ' ', cast(round(e.`2` * 100) AS bigint))), ',') AS v"
+        expected = " || ',' || ".join(values[x] for x in order) + " AS v"
+        c[f"codec_{kind.lower()}"] = Case("lineitem", line | {"x": (shape, kind)}, f"k; n; {shown}", sql.format(expected))
     empty = "cast(NULL AS {})"
     p, r2, r3, r4 = "struct<`1`:double,`2`:double>", "array<struct<`1`:double,`2`:double>>", "array<array<struct<`1`:double,`2`:double>>>", "array<array<array<struct<`1`:double,`2`:double>>>>"
     geometry = ", ".join(f"{v} AS v{i}" for i, v in enumerate([f"CASE WHEN l_linenumber % 3 = 1 THEN array({point}) END", empty.format(r3), empty.format(r4), f"CASE WHEN l_linenumber % 3 = 0 THEN {point} END", empty.format(r3), empty.format(r2), empty.format(r2)]))
@@ -152,13 +157,18 @@ def _cases() -> dict[str, Case]:
         ("flat", Options(revision=54460, flattened=True), "JSON"), ("typed", Options(revision=54460), "JSON(max_dynamic_paths=1, `user.id` Int64)"),
     ):
         c[f"codec_json_{name}"] = Case("events", events | {"x": (doc, kind)}, parsed, plain, o)
+    clash = """concat('{"a":', event_id, ',"a.b":', user_id, ',"a.b.c":"', event_type, '"}')"""
+    conflict = """SELECT event_id AS k, '{"a":' || event_id || ',"a.b":' || user_id || ',"a.b.c":"' || event_type || '"}' AS v FROM events"""
+    c["codec_json_conflict"] = Case("events", events | {"x": (clash, "JSON")}, "k; x AS v", conflict, Options(revision=54460))
     c["codec_json_props"] = Case("events", events | {"x": ("props", "JSON")}, "k; cast(variant_get(parse_json(x), '$.k') AS bigint) AS v", "SELECT event_id AS k, cast(json_extract(props, '$.k') AS BIGINT) AS v FROM events")
     # ---- vectors and functions
     vec = {"k": ("vec_id", "Int64")}
+    vector = "k; cast(size(x) AS bigint) AS n; array_join(transform(x, e -> {}), ',') AS v"
+    plain = "SELECT vec_id AS k, len(embedding)::BIGINT AS n, array_to_string([{} for i in range(1, len(embedding) + 1)], ',') AS v FROM embeddings"
     for name, kind in (("f32", "Float32"), ("f64", "Float64")):
         cast = "embedding" if name == "f32" else "transform(embedding, e -> cast(e AS double))"
-        c[f"codec_qbit_{name}"] = Case("embeddings", vec | {"x": (cast, f"QBit({kind}, {{dim}})")}, "k; cast(size(x) AS bigint) AS n; cast(x[0] AS double) AS a; cast(x[size(x) - 1] AS double) AS z", "SELECT vec_id AS k, len(embedding)::BIGINT AS n, embedding[1]::DOUBLE AS a, embedding[-1]::DOUBLE AS z FROM embeddings")
-    c["codec_qbit_bf16"] = Case("embeddings", vec | {"x": ("transform(embedding, e -> cast(round(e * 4) AS float))", "QBit(BFloat16, {dim})")}, "k; cast(size(x) AS bigint) AS n; cast(x[0] AS bigint) AS a; cast(x[size(x) - 1] AS bigint) AS z", "SELECT vec_id AS k, len(embedding)::BIGINT AS n, round(embedding[1] * 4)::BIGINT AS a, round(embedding[-1] * 4)::BIGINT AS z FROM embeddings")
+        c[f"codec_qbit_{name}"] = Case("embeddings", vec | {"x": (cast, f"QBit({kind}, {{dim}})")}, vector.format("cast(round(cast(e AS double) * 1000000) AS bigint)"), plain.format("round(embedding[i]::DOUBLE * 1000000)::BIGINT"))
+    c["codec_qbit_bf16"] = Case("embeddings", vec | {"x": ("transform(embedding, e -> cast(round(e * 4) AS float))", "QBit(BFloat16, {dim})")}, vector.format("cast(e AS bigint)"), plain.format("round(embedding[i] * 4)::BIGINT"))
     c["codec_saf"] = _line("x", "l_extendedprice", "SimpleAggregateFunction(sum, Float64)", "x", "l_extendedprice")
     return c
 
