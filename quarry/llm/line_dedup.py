@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from quarry.llm.scratch import discard, written
 
@@ -86,14 +87,14 @@ def line_dedup(
 
     A null or empty text is one empty line. Rows with one id are one document. A row with a null id is in no
     document: it is returned as it is. Repeated rows come back as often. An empty table gives no rows. ``keep``
-    names further columns to return; others are left out, whatever their names. Keys are compared by 128 bits
-    of hash. Shuffled are the hashes, the positions of dropped lines, and the texts once (to meet them).
+    names further columns to return; others are left out, whatever their names. Ids are of any type that has
+    an order. Keys are compared by 128 bits of hash. Shuffled are the hashes, the positions of dropped lines, and the texts once (to meet them).
     """
     numeric = docs.schema[doc_id].dataType.simpleString()
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("th"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)))
     bounds = []
-    if batches > 1:
+    if batches > 1 and isinstance(docs.schema[doc_id].dataType, NumericType):  # other ids go in one batch
         cut = rows.agg(F.percentile_approx("doc_id", [1 - (i + 1) / batches for i in range(batches - 1)], 1000)).first()[0]
         bounds = sorted(set(cut or []), reverse=True)
     batch = F.lit(0)

@@ -176,7 +176,8 @@ def score(docs: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str
                 columns = [pa.array(uids, pa.int64()), pa.array(words, pa.binary()), pa.array(tfs, pa.int64()), *(c.take(index) for c in [batch.column(0), *own])]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = source.select("doc_id", "__text").mapInArrow(run, kinds_sql)
+    # Written, as the numbers follow the order in which rows came: a task that runs again must not deal them anew.
+    rows = written(source.select("doc_id", "__text").mapInArrow(run, kinds_sql), "document-words")
     other = words.select("word", F.col("c"), F.col("lp").alias("word_lp"))
     met = rows.join(other, "word", "left")
     word_base = F.log10((F.col("c") + 0.5) / F.lit(total + 0.5 * (kinds + 1)))

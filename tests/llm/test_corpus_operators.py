@@ -41,6 +41,18 @@ def test_line_dedup(edge, small, batches):
         assert Counter(map(tuple, got.collect())) == Counter(plain_lines(rows))
 
 
+def test_line_dedup_of_text_ids(spark):
+    line = "a line of more than twenty characters"
+    docs = spark.createDataFrame([("b", line), ("a", line + "\nown"), ("c", line), (None, line)], "doc_id string, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.line_dedup(docs).collect()}
+    assert got == {"a": ("own", 1), "b": ("", 1), "c": (line, 0), None: (line, 0)}
+
+
+def test_percent_is_refused_below_80(small):
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(small, percent=75)
+
+
 def test_runs_are_anti_joined(spark):
     runs = line_dedup.LineRuns(fanout=3)
     frame = lambda *rows: spark.createDataFrame(rows, "h1 long, h2 long, doc_id long")
