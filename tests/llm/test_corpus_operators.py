@@ -226,6 +226,47 @@ def test_passages_whose_seeds_have_other_hubs(spark):
     assert got[a].n_passage_words == got[b].n_passage_words == 60 and list(got[b].partners) == [a]
 
 
+@pytest.mark.parametrize("stretch", [9, 34])
+def test_edited_passages_whose_seeds_have_other_hubs(spark, stretch):
+    """No run of 40 words is left, and each stretch (of 34 words: each pair of seeds too) stands in ten smaller ids."""
+    rng = random.Random(16)
+    fresh = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(70)
+    edited = [("edited" if i in (23, 47) else w) for i, w in enumerate(passage)]
+    texts = [fresh(40) + passage[i : i + stretch] + fresh(40) for i in range(0, 70 - stretch + 3, 3) for _ in range(10)]
+    texts += [fresh(30) + passage + fresh(30), fresh(20) + edited + fresh(40)]
+    got = _passages(spark, texts)
+    a, b = len(texts) - 2, len(texts) - 1
+    assert got[a].n_passage_words == got[b].n_passage_words == 70 and list(got[b].partners) == [a]
+
+
+def test_wide_links_by_plain_loops():
+    """In any pieces, each open row meets the first texts of its key, then all others."""
+    import numpy as np
+
+    rng = random.Random(17)
+    rows = sorted((key, rep, rep % 7, x, x + 20, rng.choice([substring.NONE, rep % 7 - 1, 0])) for key in range(40) for rep in rng.sample(range(25), rng.randrange(1, 12)) for x in rng.sample(range(50), rng.randrange(1, 3)))
+    found = {}
+    for size in (3, 10**6):
+        batches = lambda: (tuple(np.array(c) for c in zip(*rows[i : i + size], strict=True)) for i in range(0, len(rows), size))  # noqa: B023, E731
+        found[size] = [{p for f in substring.wide_links(batches(), 4, whole) for p in zip(*(c.tolist() for c in f), strict=True)} for whole in (False, True)]
+    assert found[3] == found[10**6]
+    for whole in (False, True):
+        want = set()
+        for key in range(40):
+            group = [r for r in rows if r[0] == key]
+            first = [r for i, r in enumerate(group) if i == 0 or group[i - 1][1] != r[1]]
+            others = first[4:] if whole else first[:4]
+            least = min((r[2] for r in others), default=0)
+            for r in group:
+                if r[5] > least and (r[2] > least or r[5] == substring.NONE):
+                    for t in others:
+                        if t[2] != r[2]:
+                            a, b = (r, t) if r[1] > t[1] else (t, r)
+                            want.add((a[1], b[1], a[3], a[4], b[3], b[4]))
+        assert found[3][whole] == want and want
+
+
 @pytest.mark.parametrize("twice", [0, 1, 2])
 def test_passages_that_stand_twice_in_a_document(spark, twice):
     rng = random.Random(7)
