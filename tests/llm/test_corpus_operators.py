@@ -267,6 +267,37 @@ def test_wide_links_by_plain_loops():
         assert found[3][whole] == want and want
 
 
+def test_runs_of_one_word_make_few_links():
+    """Sixty texts with a run of one frequent word, too short for a passage: a few links a pair, none of them lost."""
+    import numpy as np
+
+    rng = random.Random(18)
+    texts = [np.array([rng.randrange(2**32) for _ in range(50)], dtype=np.uint64) for _ in range(60)]
+    for h in texts:
+        h[10 : 10 + rng.randrange(28, 38)] = 7
+    rows = []
+    for rep, h in enumerate(texts):
+        _, seeds, at = substring.batch_seeds([h], 3, 6)
+        order = np.lexsort((seeds, at))
+        key, x, y, head = substring.wide_seeds(at[order], seeds[order].view(np.int64), 3)
+        by = substring.covering(x, y, [], 3)
+        rows += zip(*(c.tolist() for c in (key, np.full(len(key), rep), np.full(len(key), rep), x, y, by, head)), strict=True)
+    batch = tuple(np.array(c) for c in zip(*sorted(rows), strict=True))
+    found = {whole: set().union(*(zip(*(c.tolist() for c in p), strict=True) for p in substring.places_met(substring.wide_links(iter([batch]), 8, whole)))) for whole in (False, True)}
+    links = found[False] | found[True]
+    assert {(r, h) for r, h, _, _ in links} == {(r, h) for r in range(60) for h in range(r)}
+    assert len(links) <= 8 * 60 * 59 / 2
+
+
+def test_loops_are_covered_to_their_ends(spark):
+    """Runs of one frequent word: any 40 words of the longest stand in the others."""
+    rng = random.Random(19)
+    fresh = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    sizes = [30] * 10 + [76, 41, 45, 55] + [94, 130, 33]
+    got = _passages(spark, [fresh(20) + ["the"] * n + fresh(30) for n in sizes])
+    assert [list(got[i].spans) for i in range(len(sizes))] == [[20, 20 + n] if n >= 40 else [] for n in sizes]
+
+
 @pytest.mark.parametrize("twice", [0, 1, 2])
 def test_passages_that_stand_twice_in_a_document(spark, twice):
     rng = random.Random(7)
