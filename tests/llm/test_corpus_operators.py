@@ -279,8 +279,8 @@ def test_runs_of_one_word_make_few_links():
     for rep, h in enumerate(texts):
         _, seeds, at = substring.batch_seeds([h], 3, 6)
         order = np.lexsort((seeds, at))
-        key, x, y, head = substring.wide_seeds(at[order], seeds[order].view(np.int64), 3)
-        by = substring.covering(x, y, [], 3)
+        key, x, y, head, upto = substring.wide_seeds(at[order], seeds[order].view(np.int64), 3)
+        by = substring.covering(x, upto, [])
         rows += zip(*(c.tolist() for c in (key, np.full(len(key), rep), np.full(len(key), rep), x, y, by, head)), strict=True)
     batch = tuple(np.array(c) for c in zip(*sorted(rows), strict=True))
     found = {whole: set().union(*(zip(*(c.tolist() for c in p), strict=True) for p in substring.places_met(substring.wide_links(iter([batch]), 8, whole)))) for whole in (False, True)}
